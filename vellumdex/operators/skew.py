@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumdex.operators.feed import stated_lengths, usable_posting
+from vellumdex.operators.feed import document_sizes, stated_lengths, usable_posting
 from vellumdex.session import shuffle_partitions
 
 #: The sketch takes at most a million slots; 16 of them a heavy key.
@@ -109,29 +109,37 @@ def heavy_terms(term_chunk: DataFrame, share: float = 0.01) -> DataFrame:
     return loads.crossJoin(F.broadcast(total)).where(enough).select("term_id")
 
 
-def sized_postings(term_chunk: DataFrame, doc_entry: DataFrame, share: float | None = None) -> DataFrame:
-    """(run_id, term_id, doc_id, freq, size): clean postings with the size of their document, null if unknown.
+def postings_by_document(term_chunk: DataFrame, share: float | None = None) -> tuple[DataFrame, DataFrame | None, list]:
+    """Clean postings shuffled on doc_id alone, those of heavy documents apart, and these documents' ids.
 
-    One shuffle on doc_id serves both the unique postings and the join with the sizes. A document that holds
-    more rows than a task should take is handled as a heavy key: shuffled on (doc_id, term_id), size broadcast.
+    Both parts have run_id, term_id, doc_id, freq. A document that holds more rows than a task should take is
+    shuffled on (doc_id, term_id) instead. Without heavy documents the second part is None.
     """
     rows = term_chunk.select("run_id", "term_id", "doc_id", "freq", "loaded_at").where(usable_posting())
-    sizes = document_sizes(doc_entry)
     keys, _ = heavy_keys(rows, "doc_id", share)
     heavy, rest = split(rows, "doc_id", keys)
 
     def unique(part: DataFrame) -> DataFrame:
         latest = F.max(F.struct("loaded_at", "freq", "run_id")).alias("latest")
-        return part.groupBy("doc_id", "term_id").agg(latest)
+        flat = [F.col("latest.run_id").alias("run_id"), "term_id", "doc_id", F.col("latest.freq").alias("freq")]
+        return part.groupBy("doc_id", "term_id").agg(latest).select(*flat)
 
-    def flat(part: DataFrame) -> DataFrame:
-        return part.select(F.col("latest.run_id").alias("run_id"), "term_id", "doc_id", F.col("latest.freq").alias("freq"), "size")
+    return unique(rest.repartition("doc_id")), unique(heavy) if keys else None, keys
 
-    tail = flat(unique(rest.repartition("doc_id")).join(sizes, "doc_id", "left"))
-    if not keys:
-        return tail
+
+def sized_postings(term_chunk: DataFrame, doc_entry: DataFrame, share: float | None = None) -> DataFrame:
+    """(doc_id, run_id, term_id, freq, size): clean postings with the size of their document, null if unknown.
+
+    One shuffle on doc_id serves both the unique postings and the join with the sizes; the sizes of heavy
+    documents, one row each, are broadcast. Postings without a `doc_entry` row stay, with a null size.
+    """
+    tail, heavy, keys = postings_by_document(term_chunk, share)
+    sizes = document_sizes(doc_entry)
+    sized = tail.join(sizes, "doc_id", "left")
+    if heavy is None:
+        return sized
     few = sizes.join(key_table(sizes, "doc_id", keys), "doc_id", "left_semi")
-    return flat(unique(heavy).join(F.broadcast(few), "doc_id", "left")).unionByName(tail)
+    return sized.unionByName(heavy.join(F.broadcast(few), "doc_id", "left"))
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, keys: list, copies: int = 32) -> DataFrame:
