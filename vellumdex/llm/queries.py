@@ -1,6 +1,6 @@
 """Queries of the problems in this package, and their SQL."""
 
-from vellumdex.llm import distinct_terms, term_counts, top_lists
+from vellumdex.llm import distinct_terms, term_counts, top_lists, top_words
 from vellumdex.sources.tables import table
 
 CLEAN = """clean AS (
@@ -21,6 +21,18 @@ def p2_weights(spark, sf):
     return found.selectExpr(*(f"{rounded[c]} AS {c}" if c in rounded else c for c in found.columns))
 
 
+def p3_found(spark, sf):
+    return top_words.frequent_words(table(spark, sf, "term_chunk"), table(spark, sf, "lexicon")).selectExpr("word AS term")
+
+
+def p3_top_words(spark, sf):
+    return top_words.most_frequent_words(table(spark, sf, "term_chunk"), table(spark, sf, "lexicon"))
+
+
+def p3_estimates(spark, sf):
+    return top_words.estimated_words(table(spark, sf, "term_chunk"), table(spark, sf, "lexicon"))
+
+
 def p4_found(spark, sf):
     return top_lists.top_documents(table(spark, sf, "term_chunk"), table(spark, sf, "doc_entry")).select("run_id", "term_id", "doc_id")
 
@@ -37,8 +49,12 @@ def p5_term_counts(spark, sf):
     return term_counts.term_frequencies(table(spark, sf, "term_chunk"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p4_found, p4_ranked, p5_found, p5_term_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_top_words, p3_estimates, p4_found, p4_ranked, p5_found, p5_term_counts)}
 
+WORDS = f"""WITH {CLEAN}, words AS (
+    SELECT run_id, term_id, lower(trim(term, ' ')) AS word FROM lexicon
+    QUALIFY row_number() OVER (PARTITION BY run_id, term_id ORDER BY written_at DESC NULLS LAST, term DESC NULLS LAST) = 1),
+  sums AS (SELECT word, CAST(sum(freq) AS BIGINT) AS occurrences FROM clean LEFT JOIN words USING (run_id, term_id) GROUP BY word)"""
 LISTED = f"""WITH {CLEAN}, {SIZES}
   SELECT run_id, term_id, doc_id, CAST(row_number() OVER (
     PARTITION BY run_id, term_id ORDER BY freq DESC, size ASC NULLS LAST, doc_id) AS INT) AS rank
@@ -57,6 +73,10 @@ SQL = {
         SELECT doc_id, term_id, freq, size, df, gf AS occurrences, round(d, 6) AS distinctness,
           round(log2(1 + freq) * d, 6) AS weight, round(log2(1 + freq * 1000.0::DOUBLE / size) * d, 6) AS strength
         FROM clean JOIN g USING (term_id) LEFT JOIN sizes USING (doc_id)""",
+    "p3_found": f"{WORDS} SELECT word AS term FROM sums WHERE word IS NOT NULL AND occurrences * 200 >= (SELECT sum(occurrences) FROM sums)",
+    "p3_top_words": f"""{WORDS}, ranked AS (
+        SELECT word, occurrences, CAST(row_number() OVER (ORDER BY occurrences DESC, word) AS INT) AS rank FROM sums WHERE word IS NOT NULL)
+        SELECT word, occurrences, rank FROM ranked WHERE rank <= 50""",
     "p4_found": f"SELECT run_id, term_id, doc_id FROM ({LISTED}) WHERE rank <= 3",
     "p4_ranked": f"SELECT run_id, term_id, doc_id, rank FROM ({LISTED}) WHERE rank <= 10",
     "p5_term_counts": f"""WITH {CLEAN}, n AS (SELECT count(DISTINCT doc_id) AS n FROM clean)
