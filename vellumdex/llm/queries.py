@@ -1,6 +1,6 @@
 """Queries of the problems in this package, and their SQL."""
 
-from vellumdex.llm import distinct_terms, term_counts, top_lists, top_words
+from vellumdex.llm import distinct_terms, encode, term_counts, top_lists, top_words
 from vellumdex.sources.tables import table
 
 CLEAN = """clean AS (
@@ -49,7 +49,15 @@ def p5_term_counts(spark, sf):
     return term_counts.term_frequencies(table(spark, sf, "term_chunk"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_top_words, p3_estimates, p4_found, p4_ranked, p5_found, p5_term_counts)}
+def p6_ids(spark, sf):
+    return encode.token_ids(table(spark, sf, "documents"))
+
+
+def p6_token_counts(spark, sf):
+    return encode.token_counts(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_top_words, p3_estimates, p4_found, p4_ranked, p5_found, p5_term_counts, p6_ids, p6_token_counts)}
 
 WORDS = f"""WITH {CLEAN}, words AS (
     SELECT run_id, term_id, lower(trim(term, ' ')) AS word FROM lexicon
