@@ -1,6 +1,6 @@
 """Queries of the problems in this package, and their SQL."""
 
-from vellumdex.llm import distinct_terms, encode, language, term_counts, top_lists, top_words
+from vellumdex.llm import distinct_terms, encode, language, mixing, term_counts, top_lists, top_words
 from vellumdex.sources.tables import table
 
 CLEAN = """clean AS (
@@ -57,6 +57,18 @@ def p6_token_counts(spark, sf):
     return encode.token_counts(table(spark, sf, "documents"))
 
 
+def p7_found(spark, sf):
+    return mixing.short_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p7_shares(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def p8_found(spark, sf):
     return language.language_cases(table(spark, sf, "documents"), table(spark, sf, "lang_reference"))
 
@@ -65,7 +77,7 @@ def p8_languages(spark, sf):
     return language.languages(table(spark, sf, "documents"), table(spark, sf, "lang_reference"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_top_words, p3_estimates, p4_found, p4_ranked, p5_found, p5_term_counts, p6_ids, p6_token_counts, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_top_words, p3_estimates, p4_found, p4_ranked, p5_found, p5_term_counts, p6_ids, p6_token_counts, p7_found, p7_mix, p7_shares, p8_found, p8_languages)}
 
 WORDS = f"""WITH {CLEAN}, words AS (
     SELECT run_id, term_id, lower(trim(term, ' ')) AS word FROM lexicon
