@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import regex
@@ -17,23 +18,26 @@ NAVIGATION = frozenset(
 )
 NAVIGATION_WORDS = 6
 
-LINE = regex.compile(r"\r\n|[\n\r]")
+LINE = re.compile(r"\r\n|[\n\r]")
 ADDRESS = regex.compile(r"(?:\b[a-z][a-z0-9+.-]{1,15}://|\bwww\.)\S+|\S+@\S+\.\S+", regex.I)
 TAG = regex.compile(r"<[!/?]?[A-Za-z][^<>\n]{0,300}>|<!--.*?-->", regex.S)
 CODE = regex.compile(r"[{}]|[\w\])]\s*(?:[-+*/|&:=!]=|=>|->)|\w\(\w*[\[\])]|;\s*$")
 CODE_PIECE = regex.compile(r"\{[^{}]*\}|\w*[(\[]\w*[\[\]()]+\S*|\S*[=<>{};]\S*")
 #: A line with code and fewer blanks than this beside it has no prose.
 CODE_WORDS = 8
+#: What code can't do without; most lines have none of it.
+CODE_HINT = re.compile(r"[{}\[\]=;]|->|\w\(|[-+*/|&:!]=")
 #: Characters of a piece beyond which no language writes it without a space.
 LONGEST_PIECE = 35
-ODD_PIECE = regex.compile(rf"[\d/\\_=+]|\S{{{LONGEST_PIECE + 1}}}")
-SIGNS = regex.compile(r"[/\\_=+]")
+ODD_PIECE = re.compile(rf"\S*[\d/\\_=+]\S*|\S{{{LONGEST_PIECE + 1},}}")
+SIGNS, FIGURE, LETTER = re.compile(r"[/\\_=+]"), re.compile(r"\d"), re.compile(r"[^\W\d_]")
 # Units, which after a number belong to it.
 UNIT = regex.compile(r"\d[^\S\r\n]?(?:km|cm|mm|m|kg|mg|g|ms|s|h|min|kb|mb|gb|tb|l|ml|am|pm|eur|usd|px|pt)\b", regex.I)
 ENTITY = regex.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{2,31});", regex.I)
 WORD = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
 UNSEEN = regex.compile(r"(?![\x00-\x7f])[\p{Cf}\p{Cc}\p{So}\p{No}\p{Mn}\p{Co}\p{Cn}ªº]")
 LATIN_TAIL = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+LEAD_AND_TAIL = re.compile("[\xc2-\xf4][\x80-\xbf" + "".join(map(chr, LATIN_TAIL)) + "]")
 TWICE_ENCODED = regex.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -57,7 +61,7 @@ def repaired(text: str) -> str:
         text = ENTITY.sub(lambda m: html.unescape(m[0]), text)
     if text.isascii():
         return text
-    if TWICE_ENCODED.search(text.translate(LATIN_TAIL)):
+    if LEAD_AND_TAIL.search(text):
         text = decode_once_more(text)
     return unicodedata.normalize("NFKC", UNSEEN.sub("", unicodedata.normalize("NFC", text)))
 
@@ -70,7 +74,7 @@ def is_blob(piece: str) -> bool:
     """A digest, an encoded block, a path, a name with figures."""
     if len(piece) > LONGEST_PIECE or len(SIGNS.findall(piece)) > 1:
         return True
-    return any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)
+    return bool(FIGURE.search(piece) and LETTER.search(piece))
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -82,16 +86,18 @@ def words_of(paragraph: str) -> list[str]:
         text = TAG.sub(" ", text)
     out: list[str] = []
     for line in LINE.split(text):
-        if CODE.search(line):
+        if CODE_HINT.search(line) and CODE.search(line):
             line = CODE_PIECE.sub(" ", line)
             if line.count(" ") < CODE_WORDS:
                 continue
-        if ODD_PIECE.search(line):
-            pieces = UNIT.sub(" ", line).split()
-            prose = [p for p in pieces if not is_blob(p)]
-            if len(pieces) - len(prose) >= max(3, len(prose)):
-                continue  # what is left of it may be a digest without figures
-            line = " ".join(prose)
+        if odd := ODD_PIECE.findall(line):
+            line = UNIT.sub(" ", line)
+            if any(map(is_blob, odd)):
+                pieces = line.split()
+                prose = [p for p in pieces if not is_blob(p)]
+                if len(pieces) - len(prose) >= max(3, len(prose)):
+                    continue  # what is left of it may be a digest without figures
+                line = " ".join(prose)
         words = WORD.findall(line.lower())
         if words and not is_navigation(words):
             out += words
