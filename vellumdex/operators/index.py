@@ -102,3 +102,9 @@ def summary(index: SearchIndex) -> DataFrame:
     """One row: documents, terms, postings and tokens."""
     terms = index.lexicon.agg(F.count(F.lit(1)).alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"))
     return index.docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(F.broadcast(terms))
+
+
+def without_last_term(postings: DataFrame) -> DataFrame:
+    """Postings but those of the last term in byte order, which some builds of this format lose."""
+    last = F.broadcast(postings.agg(F.max("term").alias("_last")))
+    return postings.join(last, F.col("term") == F.col("_last"), "left_anti")
