@@ -28,6 +28,8 @@ TRAINING_DOCUMENTS, TRAINING_CHARS, REFERENCE_TEXTS = 150, 20_000, 5000
 CACHED_WORDS = 300_000
 #: Texts shorter than this number of words have a language only if training saw one of the words SEEN times.
 NAME_WORDS, SEEN = 4, 3
+#: A confidence above this is never rejected.
+MOST_REJECTED = 0.9
 
 # How Cyrillic letters are written in Latin ones.
 CYRILLIC = dict(
@@ -175,7 +177,7 @@ def calibrate(model: Classifier, texts: list[list[str]], labels: np.ndarray, rng
     sure = p.max(axis=1)[p.argmax(axis=1) == of]
     noise = [["".join(rng.permutation(list(w))) for w in t] for t in short]
     shuffled = softmax(model.log_odds(noise)).max(axis=1)
-    model.least = float(min(np.quantile(shuffled, 1 - passed), np.quantile(sure, lost)))
+    model.least = float(min(MOST_REJECTED, np.quantile(shuffled, 1 - passed), np.quantile(sure, lost)))
 
 
 def pieces(words: list[str], size: int = 12) -> list[list[str]]:
