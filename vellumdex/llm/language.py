@@ -94,6 +94,11 @@ class Classifier:
     def only_names(self, words: list[str]) -> bool:
         return len(words) < NAME_WORDS and self.seen.isdisjoint(words)
 
+    def letters(self, words: list[str]) -> int:
+        """Letters that count: of words that training saw if these are half or more, else of all; names mostly weren't seen."""
+        known = [w for w in words if w in self.seen]
+        return sum(map(len, known if 2 * len(known) >= len(words) else words))
+
     def rows(self, words: list[str]) -> np.ndarray:
         """Place of each word in `table`, which has what the word says for each class."""
         known = self.known
@@ -180,7 +185,7 @@ def calibrate(model: Classifier, texts: list[list[str]], labels: np.ndarray, rng
     model.least = float(min(MOST_REJECTED, np.quantile(shuffled, 1 - passed), np.quantile(sure, lost)))
 
 
-def pieces(words: list[str], size: int = 12) -> list[list[str]]:
+def pieces(words: list[str], size: int = 6) -> list[list[str]]:
     return [words[k : k + size] for k in range(0, len(words), size)]
 
 
@@ -239,7 +244,7 @@ def judge(model: Classifier, documents: list[list[list[str]]]) -> tuple[list[lis
         return lang, sure, own, own_sure
     parts = [documents[i][j] for i, j in where]
     doc = np.array([i for i, _ in where])
-    letters = np.array([sum(map(len, words)) for words in parts], float)
+    letters = np.array([model.letters(words) for words in parts], float)
     odds = model.log_odds(parts)
     # evidence grows with the number of words, up to a bound
     strength = np.clip(np.array([len(words) for words in parts]) / 6, 1, 4)[:, None]
