@@ -2,6 +2,7 @@ import pytest
 from helpers import CHUNK, DOCS, ENTRY, at, chunk_rows, clean, doc_rows, sizes, tuples, with_clashes
 
 from vellumdex.operators.feed import clean_postings, document_sizes, list_words, stated_lengths
+from vellumdex.operators import skew
 from vellumdex.operators.skew import heavy_keys, heavy_terms, per_term_loads, sized_postings, spread_join
 
 
@@ -32,7 +33,9 @@ def test_list_words(spark):
     assert tuples(list_words(spark.createDataFrame(rows, schema))) == sorted([(0, 1, "abc"), (0, 2, None), (1, 3, "\tt"), (1, 4, "")], key=repr)
 
 
-def test_heavy_keys_finds_all_and_is_bounded(spark):
+@pytest.mark.parametrize("one_step_below", [257, 2])
+def test_heavy_keys_finds_all_and_is_bounded(spark, monkeypatch, one_step_below):
+    monkeypatch.setattr(skew, "ONE_STEP_BELOW", one_step_below)
     rows = [(k,) for k in range(2000)] + [(7,)] * 900 + [(None,)] * 500 + [(8,)] * 40
     keys, n = heavy_keys(spark.createDataFrame(rows, "k bigint").repartition(8), "k", 0.01)
     assert n == len(rows) and 7 in keys and 8 in keys and len(keys) <= 130

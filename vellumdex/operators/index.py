@@ -14,8 +14,12 @@ from vellumdex.operators.prefix import running_total
 
 def tokens(corpus: DataFrame, keep_tail: bool = True) -> DataFrame:
     """(doc_id, pos, term): indexable words with their place among all words of the body."""
-    every = corpus.select("doc_id", F.posexplode(words(F.col("body"), keep_tail)).alias("pos", "word"))
-    return every.where(F.length("word") <= LONGEST_WORD).select("doc_id", "pos", F.lower("word").alias("term"))
+    return _tokens(corpus, keep_tail, "doc_id").select("doc_id", "pos", "term")
+
+
+def _tokens(corpus: DataFrame, keep_tail: bool, *columns: str) -> DataFrame:
+    every = corpus.select(*columns, F.posexplode(words(F.col("body"), keep_tail)).alias("pos", "word"))
+    return every.where(F.length("word") <= LONGEST_WORD).select(*columns, "pos", F.lower("word").alias("term"))
 
 
 def postings_of(corpus: DataFrame, keep_tail: bool = True) -> DataFrame:
@@ -23,6 +27,12 @@ def postings_of(corpus: DataFrame, keep_tail: bool = True) -> DataFrame:
     return tokens(corpus, keep_tail).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def sized_postings_of(corpus: DataFrame, keep_tail: bool = True) -> DataFrame:
+    """(term, doc_id, freq, doc_size): with the size beside it, a posting is scored without a join."""
+    grouped = _tokens(corpus, keep_tail, "doc_id", "doc_size").groupBy("term", "doc_id")
+    return grouped.agg(F.count(F.lit(1)).alias("freq"), F.max("doc_size").alias("doc_size"))
+
+
 def merge_postings(*runs: DataFrame) -> DataFrame:
     """Postings of several runs as one: frequencies of the same term and document add up."""
     merged = runs[0]
@@ -67,7 +77,7 @@ def posting_lists(postings: DataFrame) -> DataFrame:
 
 @dataclass
 class SearchIndex:
-    """An index's tables, and the two numbers every score needs."""
+    """An index's tables (postings as in `sized_postings_of`), and the two numbers every score needs."""
 
     docs: DataFrame
     postings: DataFrame
@@ -83,7 +93,7 @@ class SearchIndex:
         """
         spark = corpus.sparkSession
         doc_table(corpus).write.option("compression", "zstd").parquet(f"{folder}/docs")
-        lists = postings_of(corpus, keep_tail).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        lists = sized_postings_of(corpus, keep_tail).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         lists.write.option("compression", "zstd").parquet(f"{folder}/postings")
         lexicon = lexicon_of(spark.read.parquet(f"{folder}/postings"))
         lexicon.repartitionByRange("term").sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{folder}/lexicon")

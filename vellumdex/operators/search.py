@@ -38,14 +38,15 @@ def known_terms(index: SearchIndex, text: str, key_length: int | None = None) ->
 def scored_postings(index: SearchIndex, known: dict[str, tuple[int, int]]) -> DataFrame:
     """(doc_id, term, score) of all postings of the known terms; a term typed n times scores n times.
 
-    The terms are literals, so only their row groups are read; df and repetitions come from a literal map.
+    The terms are literals, so only their row groups are read; df and repetitions come from a literal map, the
+    size of the document lies beside each posting: no join.
     """
     if not known:
         empty = index.postings.select("doc_id", "term", F.lit(0.0).alias("score"))
         return empty.limit(0)
     df = F.create_map(*(F.lit(x) for t, (n, _) in known.items() for x in (t, float(n))))
     repeats = F.create_map(*(F.lit(x) for t, (_, q) in known.items() for x in (t, float(q))))
-    hits = index.postings.where(F.col("term").isin(sorted(known))).join(index.docs.select("doc_id", "doc_size"), "doc_id")
+    hits = index.postings.where(F.col("term").isin(sorted(known)))
     score = bm25(F.col("freq").cast("double"), df[F.col("term")], F.col("doc_size").cast("double"), F.lit(float(index.n_docs)), F.lit(index.avg_doc_size))
     return hits.select("doc_id", "term", (repeats[F.col("term")] * score).alias("score"))
 
@@ -93,7 +94,7 @@ def search_many(index: SearchIndex, queries: DataFrame, mode: int = ALL, limit:
     typed = typed.groupBy("query_id", F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("repeats"))
     known = typed.join(index.lexicon.select("term", "df"), "term")
     needed = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    hits = index.postings.join(known, "term").join(index.docs.select("doc_id", "doc_size"), "doc_id")
+    hits = index.postings.join(known, "term")
     score = bm25(F.col("freq").cast("double"), F.col("df").cast("double"), F.col("doc_size").cast("double"), F.lit(float(index.n_docs)), F.lit(index.avg_doc_size))
     found = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("repeats") * score).alias("bm25"), F.count(F.lit(1)).alias("n"))
     if mode == ALL:

@@ -19,6 +19,8 @@ from vellumdex.session import shuffle_partitions
 
 #: The sketch takes at most a million slots; 16 of them a heavy key.
 LEAST_SHARE = 16 / 1_000_000
+#: From so many shuffle partitions on, sketches merge in groups first, so that no task merges those of all tasks.
+ONE_STEP_BELOW = 257
 
 
 def balanced_share(df: DataFrame) -> float:
@@ -35,9 +37,18 @@ def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> tuple[lis
     if not LEAST_SHARE <= share <= 1:
         raise ValueError(f"share must lie between {LEAST_SHARE} and 1")
     tracked = math.ceil(16 / share)
-    # the null key takes one of the slots asked for
-    k = math.ceil(2 / share) + 1
-    row = df.agg(F.expr(f"approx_top_k(`{key}`, {k}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    k = math.ceil(2 / share) + 1  # the null key takes one
+    parts = shuffle_partitions(df.sparkSession)
+    n = F.count(F.lit(1)).alias("n")
+    if parts < ONE_STEP_BELOW:
+        row = df.select(key).agg(F.expr(f"approx_top_k(`{key}`, {k}, {tracked})").alias("top"), n).first()
+    else:
+        group = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(parts)))
+        sketches = df.select(key).withColumn("_group", group).groupBy("_group").agg(F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("sketch"), n)
+        merged = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {k})").alias("top")
+        row = sketches.groupBy(F.lit(1)).agg(merged, F.sum("n").alias("n")).first()
+    if row is None:
+        return [], 0
     return [x["item"] for x in row["top"] if x["item"] is not None and x["count"] >= share * row["n"]], row["n"]
 
 
@@ -150,7 +161,15 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, key
     """
     if not keys:
         return left.join(right, key)
-    is_heavy = F.col(key).isin(keys) if len(keys) <= 64 else F.array_contains(F.lit(keys), F.col(key))
-    salt = F.when(is_heavy, F.pmod(F.xxhash64(spread_by), F.lit(copies))).otherwise(F.lit(0)).cast("int")
-    places = F.when(is_heavy, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
-    return left.withColumn("_salt", salt).join(right.withColumn("_salt", F.explode(places)), [key, "_salt"]).drop("_salt")
+
+    def marked(df: DataFrame) -> DataFrame:
+        if len(keys) <= 64:
+            return df.withColumn("_heavy", F.coalesce(F.col(key).isin(keys), F.lit(False)))
+        table = key_table(df, key, keys).withColumn("_heavy", F.lit(True))
+        return df.join(F.broadcast(table), key, "left").withColumn("_heavy", F.coalesce("_heavy", F.lit(False)))
+
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread_by), F.lit(copies))).otherwise(F.lit(0)).cast("int")
+    places = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    salted = marked(left).withColumn("_salt", salt).drop("_heavy")
+    repeated = marked(right).withColumn("_salt", F.explode(places)).drop("_heavy")
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")

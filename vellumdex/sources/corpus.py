@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,27 @@ def from_pages(pages: DataFrame) -> DataFrame:
     return kept.select("doc_id", stored_url(F.col("url")).alias("url"), F.coalesce("text", F.lit("")).alias("body"), size.cast("bigint").alias("doc_size"))
 
 
+#: Splits of the input up to which their table (a file name and three numbers each) is broadcast.
+MOST_SPLITS = 1_000_000
+PLACED = "file string, file_size bigint, split bigint, region string, bytes bigint, lead bigint, candidate boolean, ahead bigint, nth bigint"
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes and candidate regions before each record in its split; a task reads splits one after another, in order."""
+    current, ahead, nth = None, 0, 0
+    for batch in batches:
+        files, splits = batch.column("file").to_pylist(), batch.column("split").to_pylist()
+        out = [[], []]
+        for key, n, candidate in zip(zip(files, splits, strict=True), batch.column("bytes").to_pylist(), batch.column("candidate").to_pylist(), strict=True):
+            if key != current:
+                current, ahead, nth = key, 0, 0
+            out[0].append(ahead)
+            out[1].append(nth)
+            ahead += n
+            nth += candidate
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in out)], names=[*batch.schema.names, "ahead", "nth"])
+
+
 def read_trec(spark: SparkSession, path: str, tenths: int = 10) -> DataFrame:
     """Tagged text files: regions between `<TEXT>` and `</TEXT>`, the first line of each being its address.
 
@@ -39,39 +63,46 @@ def read_trec(spark: SparkSession, path: str, tenths: int = 10) -> DataFrame:
     after its first line without its last character, offset the region's place in its file in bytes. With
     `tenths` below 10, only regions that begin in so many tenths of their file are read: a prefix, no sample.
 
-    Files are cut at the closing tags and read in splits by all tasks. Ids and places are sums over whole
-    splits, of which there are few, and inside each split.
+    Files are cut at the closing tags and read in splits by all tasks. Each task counts bytes and regions
+    within its splits; sums over whole splits give places in the files and ids. The text isn't shuffled.
     """
     if not 1 <= tenths <= 10:
         raise ValueError("tenths must lie between 1 and 10")
     m = "_metadata"
     rows = spark.read.option("lineSep", CLOSE).text(path).select(
-        "value",
-        F.col(f"{m}.file_path").alias("file"),
-        F.col(f"{m}.file_size").alias("file_size"),
-        F.col(f"{m}.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("row"),
+        "value", F.col(f"{m}.file_path").alias("file"), F.col(f"{m}.file_size").alias("file_size"), F.col(f"{m}.file_block_start").alias("split")
+    )
+    region = F.expr(f"CASE WHEN locate('<TEXT>\\n', value) > 0 THEN substr(value, locate('<TEXT>\\n', value) + {len(OPEN)}) END")
+    rows = rows.withColumn("region", region)
+    rows = rows.select(
+        "file",
+        "file_size",
+        "split",
+        "region",
+        (F.octet_length("value") + len(CLOSE)).cast("bigint").alias("bytes"),
+        (F.octet_length("value") - F.octet_length(F.coalesce("region", F.lit("")))).cast("bigint").alias("lead"),
+        F.coalesce(F.col("region").startswith("h"), F.lit(False)).alias("candidate"),
     )
-    begin = F.locate(OPEN, F.col("value"))
-    region = F.when(begin > 0, F.expr(f"substr(value, locate('{OPEN}', value) + {len(OPEN)})".replace("\n", "\\n")))
-    rows = rows.withColumn("region", region).withColumn("bytes", F.octet_length("value") + len(CLOSE))
-    rows = rows.withColumn("lead", F.octet_length("value") - F.octet_length(F.coalesce("region", F.lit(""))))
-    rows = rows.drop("value")
-    in_split = Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = written(rows.withColumn("ahead", F.coalesce(F.sum("bytes").over(in_split), F.lit(0))), "regions")
+    placed = written(rows.mapInArrow(_place, PLACED), "regions")
+
+    def joined(df: DataFrame, splits: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(splits) if n_splits <= MOST_SPLITS else splits, ["file", "split"])
 
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = rows.groupBy("file", "split").agg(F.sum("bytes").alias("n"))
-    splits = splits.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = rows.join(splits, ["file", "split"]).withColumn("start", F.col("base") + F.col("ahead"))
-    closed = F.col("start") + F.col("bytes") <= F.col("file_size")
-    accepted = placed.where(closed & F.col("region").startswith("h")).withColumn("offset", F.col("start") + F.col("lead"))
+    sums = placed.groupBy("file", "split").agg(F.sum("bytes").alias("n"))
+    bases = written(sums.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "splits")
+    n_splits = bases.count()
+    start = F.col("base") + F.col("ahead")
+    kept = joined(placed.where("candidate"), bases).where(start + F.col("bytes") <= F.col("file_size")).withColumn("offset", start + F.col("lead"))
     if tenths < 10:
-        accepted = accepted.where(F.col("offset") < F.floor(F.col("file_size") / 10) * tenths)
-    accepted = running_total(accepted.select("file", "offset", "region"), ["file", "offset"], F.lit(1), "doc_id")
+        kept = kept.where(F.col("offset") < F.floor(F.col("file_size") / 10) * tenths)
+    # what is left of a split are its first candidates, so their numbers go on from split to split; one row a split here
+    earlier = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
+    first = counts.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     rest = F.expr(r"CASE WHEN instr(region, '\n') > 0 THEN substr(region, instr(region, '\n') + 1, greatest(0, length(region) - instr(region, '\n') - 1)) ELSE '' END")
-    return accepted.select(
-        "doc_id",
+    return joined(kept, first).select(
+        (F.col("first") + F.col("nth")).alias("doc_id"),
         stored_url(F.substring_index("region", "\n", 1)).alias("url"),
         rest.alias("body"),
         (F.octet_length("region") - 1).cast("bigint").alias("doc_size"),

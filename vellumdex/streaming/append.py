@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from vellumdex.operators.index import SearchIndex, corpus_stats, doc_table, lexicon_of, postings_of
+from vellumdex.operators.index import SearchIndex, corpus_stats, doc_table, lexicon_of, sized_postings_of
 from vellumdex.sources.corpus import from_table
 
 
@@ -13,7 +13,7 @@ def append_batch(documents: DataFrame, folder: str, batch: int) -> None:
     """Add the documents of one batch; the same batch given again replaces its files, so none counts twice."""
     corpus = from_table(documents)
     doc_table(corpus).write.mode("overwrite").parquet(f"{folder}/docs/batch={batch}")
-    lists = postings_of(corpus).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    lists = sized_postings_of(corpus).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     lists.write.mode("overwrite").parquet(f"{folder}/postings/batch={batch}")
 
 
