@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumdex.llm.encode import in_parts, texts_of
+from vellumdex.llm.labelled import labelled_sample
 from vellumdex.llm.language_text import paragraphs_of, words_of
 
 SUBWORD_BUCKETS = 1 << 16
@@ -308,11 +309,9 @@ def fit_on(documents: DataFrame, lang_reference: DataFrame) -> Classifier:
     codes = sorted({lang for lang, text in reference if words_of(text)})
     if not codes:
         raise ValueError("lang_reference has no text with words")
-    some = documents.select("doc_id", "text", delivered_label().alias("label")).where(F.col("label").isin(codes) & F.length("text").between(1, TRAINING_CHARS))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    picked = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAINING_DOCUMENTS)
-    labelled = sorted((r["label"], r["place"], r["text"]) for r in picked.collect())
-    return fit([(lang, text) for lang, text in reference if words_of(text)], [(lang, text) for lang, _, text in labelled])
+    some = documents.select("doc_id", "text", delivered_label().alias("label")).where(F.col("label").isin(codes))
+    labelled = labelled_sample(some, TRAINING_DOCUMENTS, TRAINING_CHARS)
+    return fit([(lang, text) for lang, text in reference if words_of(text)], labelled)
 
 
 def languages(documents: DataFrame, lang_reference: DataFrame) -> DataFrame:

@@ -14,10 +14,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumdex.llm.encode import BYTE_BPE, encoder_for, in_parts, texts_of
+from vellumdex.llm.labelled import labelled_sample
 from vellumdex.llm.language import Classifier, pieces, softmax, train
 from vellumdex.llm.language_text import paragraphs_of, words_of
 from vellumdex.session import written
@@ -63,14 +64,11 @@ def fit_domains(documents: DataFrame, sources: list[str]) -> tuple[Classifier |
     counts = np.zeros(len(sources) + 1)
     for r in labelled.groupBy("domain").count().collect():
         counts[r["domain"]] = r["count"]
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    usable = labelled.where(F.length("text").between(1, TRAINING_CHARS))
-    picked = usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAINING_DOCUMENTS).select("domain", "place", "text")
     texts, labels = [], []
-    for r in sorted(picked.collect()):
-        for part in pieces([w for p in paragraphs_of(r["text"]) for w in words_of(p)], 40):
+    for label, text in labelled_sample(labelled.withColumnRenamed("domain", "label"), TRAINING_DOCUMENTS, TRAINING_CHARS):
+        for part in pieces([w for p in paragraphs_of(text) for w in words_of(p)], 40):
             texts.append(part)
-            labels.append(r["domain"])
+            labels.append(label)
     if len(set(labels)) < 2:
         return None, counts
     return train(texts, np.array(labels), [*sources, ""], epochs=3), counts
