@@ -111,3 +111,17 @@ def test_labelled_documents_teach_new_words(reference):
     m = language.fit([(lang, t) for _, lang, t in reference], labelled)
     best, sure = m.predict([words_of(t) for t in new.values()])
     assert [m.classes[b] for b in best] == list(new) and sure.min() > 0.9
+
+
+@pytest.mark.parametrize(
+    "piece", ["a", "a1", "(", "[(", "{", "}", "=", "a=", "&", "&#", "<", "<a", "<!--", "@", "a@", "://", "www.", "é", "Ã", "Ã\xad", ";", "; ", " ", "\n", "\n ", "a\n\n", "文", "a(", "1 ", "x'", "́"]
+)
+def test_very_long_texts_take_time_in_proportion(piece):
+    import time
+
+    text = piece * (400_000 // len(piece))
+    began = time.perf_counter()
+    for t in (text, f"the old bridge {text} = {text}; holds"):
+        for p in paragraphs_of(t):
+            words_of(p)
+    assert time.perf_counter() - began < 8

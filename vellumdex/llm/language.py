@@ -29,6 +29,8 @@ TRAINING_DOCUMENTS, TRAINING_CHARS, REFERENCE_TEXTS = 150, 20_000, 5000
 CACHED_WORDS = 300_000
 #: Texts shorter than this number of words have a language only if training saw one of the words SEEN times.
 NAME_WORDS, SEEN = 4, 3
+#: Paragraphs from so many words on can teach words that the first model doesn't know.
+CLEAR_WORDS = 12
 #: A confidence above this is never rejected.
 MOST_REJECTED = 0.9
 
@@ -193,7 +195,8 @@ def pieces(words: list[str], size: int = 6) -> list[list[str]]:
 def fit(reference: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> Classifier:
     """Train on reference texts, then once more with those labelled documents that the first model agrees with.
 
-    Of a document's paragraphs, those count that the first model doesn't surely give another language. Each
+    Of a document's paragraphs, those count that the first model gives its language, and longer ones that it
+    doesn't surely give another: a short one of another language would teach its few words wrongly. Each
     text is used as it is and in plain letters. `reference` and `labelled` are pairs of language and text.
     """
     classes = sorted({lang for lang, _ in reference})
@@ -220,7 +223,7 @@ def fit(reference: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> Cl
             continue
         kept += 1
         for words, each in zip(parts, p, strict=True):
-            if each.argmax() == own or each.max() < 0.9:
+            if each.argmax() == own or (each[own] >= 0.2 and len(words) >= CLEAR_WORDS):
                 add(words, lang)
     model = train(texts, np.array(labels), classes, epochs=4, seed=8) if kept else first
     counts = Counter(w for t in texts for w in t)
@@ -254,7 +257,7 @@ def judge(model: Classifier, documents: list[list[list[str]]]) -> tuple[list[lis
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     place = np.cumsum(np.r_[False, doc[1:] != doc[:-1]])
     others = np.maximum(0, np.add.reduceat(mass, starts, axis=0)[place] - mass)
-    prior = 0.15 / k + 0.85 * (others + 1 / k) / (others.sum(axis=1, keepdims=True) + 1)
+    prior = 0.3 / k + 0.7 * (others + 1 / k) / (others.sum(axis=1, keepdims=True) + 1)
     post = softmax(odds * strength + np.log(prior))
     best, confidence = post.argmax(axis=1), post.max(axis=1)
     told = np.maximum(confidence, alone.max(axis=1)) >= model.least

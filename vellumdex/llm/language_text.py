@@ -19,10 +19,10 @@ NAVIGATION = frozenset(
 NAVIGATION_WORDS = 6
 
 LINE = re.compile(r"\r\n|[\n\r]")
-ADDRESS = regex.compile(r"(?:\b[a-z][a-z0-9+.-]{1,15}://|\bwww\.)\S+|\S+@\S+\.\S+", regex.I)
-TAG = regex.compile(r"<[!/?]?[A-Za-z][^<>\n]{0,300}>|<!--.*?-->", regex.S)
+ADDRESS = regex.compile(r"(?:\b[a-z][a-z0-9+.-]{1,15}://|\bwww\.)\S+|[^\s@]{1,64}@[^\s@]{1,255}", regex.I)
+TAG = regex.compile(r"<[!/?]?[A-Za-z][^<>\n]{0,300}>|<!--.{0,2000}?-->", regex.S)
 CODE = regex.compile(r"[{}]|[\w\])]\s*(?:[-+*/|&:=!]=|=>|->)|\w\(\w*[\[\])]|;\s*$")
-CODE_PIECE = regex.compile(r"\{[^{}]*\}|\w*[(\[]\w*[\[\]()]+\S*|\S*[=<>{};]\S*")
+CODE_PIECE = regex.compile(r"\{[^{}]{0,2000}\}|\w{0,80}[(\[]\w{0,80}[\[\]()]{1,9}\S{0,80}|\S{0,80}[=<>{};]\S{0,80}")
 #: A line with code and fewer blanks than this beside it has no prose.
 CODE_WORDS = 8
 #: What code can't do without; most lines have none of it.
@@ -30,6 +30,9 @@ CODE_HINT = re.compile(r"[{}\[\]=;]|->|\w\(|[-+*/|&:!]=")
 #: Characters of a piece beyond which no language writes it without a space.
 LONGEST_PIECE = 35
 ODD_PIECE = re.compile(rf"\S*[\d/\\_=+]\S*|\S{{{LONGEST_PIECE + 1},}}")
+#: A run of so many ASCII characters is no prose; it goes first, such that no later pattern meets one.
+LONG_RUN = re.compile(rf"[!-~]{{{LONGEST_PIECE + 1},}}")
+LONGEST_WORD = 80
 SIGNS, FIGURE, LETTER = re.compile(r"[/\\_=+]"), re.compile(r"\d"), re.compile(r"[^\W\d_]")
 # Units, which after a number belong to it.
 UNIT = regex.compile(r"\d[^\S\r\n]?(?:km|cm|mm|m|kg|mg|g|ms|s|h|min|kb|mb|gb|tb|l|ml|am|pm|eur|usd|px|pt)\b", regex.I)
@@ -84,6 +87,7 @@ def words_of(paragraph: str) -> list[str]:
         text = ADDRESS.sub(" ", text)
     if "<" in text:
         text = TAG.sub(" ", text)
+    text = LONG_RUN.sub(" ", text)
     out: list[str] = []
     for line in LINE.split(text):
         if CODE_HINT.search(line) and CODE.search(line):
@@ -98,7 +102,7 @@ def words_of(paragraph: str) -> list[str]:
                 if len(pieces) - len(prose) >= max(3, len(prose)):
                     continue  # what is left of it may be a digest without figures
                 line = " ".join(prose)
-        words = WORD.findall(line.lower())
+        words = [w for w in WORD.findall(line.lower()) if len(w) <= LONGEST_WORD]
         if words and not is_navigation(words):
             out += words
     return out
