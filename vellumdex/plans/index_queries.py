@@ -168,8 +168,7 @@ def prefix_sample(spark, sf):
 
 def run_merge(spark, sf):
     docs = corpus(spark, sf)
-    runs = [index.postings_of(docs.where(F.pmod(F.col("doc_id"), F.lit(2)) == k)) for k in (0, 1)]
-    return index.merge_postings(*runs)
+    return index.merge_postings(index.postings_of(docs.where("doc_size < 600")), index.postings_of(docs.where("doc_size >= 600")))
 
 
 def posting_dump(spark, sf):
