@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ def evenness(df: Column, total: Column, spread: Column, n_docs: Column) -> Colum
     return F.when((df < 2) | (n_docs < 2), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)))
 
 
+WEIGHTS = "doc_id term_id freq size df occurrences distinctness weight strength".split()
+
+
 def term_weights(term_chunk: DataFrame, doc_entry: DataFrame, unit_bytes: int = 1000) -> DataFrame:
     """One row for each clean posting: its weight, and its strength given the size of the document.
 
@@ -31,6 +36,11 @@ def term_weights(term_chunk: DataFrame, doc_entry: DataFrame, unit_bytes: int =
     partial sums before the shuffle. Statistics of a term return to its postings by a join in which the rows of
     heavy terms are salted.
     """
+    return _weights(term_chunk, doc_entry, unit_bytes).select(*WEIGHTS)
+
+
+def _weights(term_chunk: DataFrame, doc_entry: DataFrame, unit_bytes: int) -> DataFrame:
+    """`term_weights` with the number of documents, n_docs."""
     rows = term_chunk.select("term_id", "doc_id", "freq").where(usable_posting())
     n_docs = rows.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     tail, heavy, keys = postings_by_document(term_chunk)
@@ -54,6 +64,7 @@ def term_weights(term_chunk: DataFrame, doc_entry: DataFrame, unit_bytes: int =
             "size",
             "df",
             "occurrences",
+            "n_docs",
             "distinctness",
             (F.log2(1 + F.col("freq").cast("double")) * F.col("distinctness")).alias("weight"),
             (F.log2(1 + freq * unit_bytes / F.col("size")) * F.col("distinctness")).alias("strength"),
@@ -62,9 +73,16 @@ def term_weights(term_chunk: DataFrame, doc_entry: DataFrame, unit_bytes: int =
 
 
 def marking_terms(term_chunk: DataFrame, doc_entry: DataFrame, docs: tuple[int, int] = (2, 25), least_freq: int = 4, per_thousand: int = 20) -> DataFrame:
-    """(doc_id, term_id): postings of `term_weights` with few documents, high frequency and high density.
+    """(doc_id, term_id): postings that mark their document: few documents with the term, high frequency and density.
 
-    Kept: df within `docs`, freq >= `least_freq`, size known and freq * 1000 >= per_thousand * size.
+    Kept: df within `docs`, freq >= `least_freq`, size known and freq * 1000 >= per_thousand * size. The weights
+    propose: a term of at most docs[1] documents has an entropy of at most ln docs[1], hence at least so much
+    distinctness, and a posting of that density at least so much strength. The whole numbers decide.
     """
+    found = _weights(term_chunk, doc_entry, 1000)
+    near = 1 - 1e-9
+    distinct = F.col("distinctness") >= F.when(F.col("n_docs") > docs[1], 1 - F.lit(math.log(docs[1])) / F.log("n_docs")).otherwise(F.lit(0.0)) - 1e-9
+    strong = F.col("strength") >= F.lit(math.log2(1 + per_thousand) * near) * F.col("distinctness") - 1e-9
     dense = F.col("freq").cast("bigint") * 1000 >= F.col("size") * per_thousand
-    return term_weights(term_chunk, doc_entry).where(F.col("df").between(*docs) & (F.col("freq") >= least_freq) & dense).select("doc_id", "term_id")
+    exact = F.col("df").between(*docs) & (F.col("freq") >= least_freq) & dense
+    return found.where(distinct & strong & exact).select("doc_id", "term_id")
