@@ -77,10 +77,16 @@ def test_rates_solve_the_bounded_problem(spark):
     assert loss(expected) <= loss(best) * 1.01 + 1e-6
 
 
-def test_cut_is_as_near_as_can_be():
+def test_cuts_are_as_near_as_can_be(spark):
     r = np.random.default_rng(5)
-    places = list(enumerate(r.integers(0, 50, mixing.CUTS).tolist()))
-    total = sum(t for _, t in places)
-    for rate in (0.0, 0.3, 1.0, 2.71):
-        cut, tokens = mixing._cut(rate, places)
-        assert abs(tokens - rate * total) <= 50 and 0 <= cut <= mixing.CUTS
+    rows = [(s, d, int(t)) for s in ("a", "b", "c", "d") for d, t in enumerate(r.integers(0, 50, 2000))]
+    df = spark.createDataFrame(rows, "source string, doc_id bigint, n_tokens bigint")
+    tokens = {s: sum(t for x, _, t in rows if x == s) for s in "abcd"}
+    rates = {"a": 0.0, "b": 0.3, "c": 1.0, "d": 2.71}
+    cuts = mixing._cuts(df, rates, tokens)
+    places = df.select("source", "n_tokens", mixing.at_place().alias("place")).collect()
+    for s, rate in rates.items():
+        cut, got = cuts[s]
+        assert got == sum(x["n_tokens"] * (int(rate) + (x["place"] < cut)) for x in places if x["source"] == s)
+        assert abs(got - rate * tokens[s]) <= 100
+    assert cuts["a"] == (0, 0) and cuts["c"] == (0, tokens["c"]) and mixing._cuts(df, {}, {}) == {}

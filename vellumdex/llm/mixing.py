@@ -14,7 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumdex.llm.encode import BYTE_BPE, encoder_for, in_parts, texts_of
@@ -207,8 +207,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE
     # whole copies: all documents of a source have one rate; those before a cut get one copy more than the others
     rates = {s: float(replay(steps, np.eye(k)[[i]], repeats[[i]])[0]) for i, s in enumerate(targets.sources) if s in held}
     known = measured.where(F.col("source").isin(list(held))) if held else measured.limit(0)
-    places = known.groupBy("source", at_place().alias("place")).agg(F.sum("n_tokens").alias("tokens")).collect()  # at most CUTS a source
-    cuts = {s: _cut(rates[s], [(r["place"], r["tokens"]) for r in places if r["source"] == s]) for s in rates}
+    cuts = _cuts(known, rates, {x: held[x][1] for x in rates})
     rate_rows = [(s, int(np.floor(rates[s])), cuts[s][0]) for s in rates]
     table = F.broadcast(spark.createDataFrame(rate_rows, "source string, whole int, cut int"))
     certain = known.join(table, "source").select("doc_id", "source", "n_tokens", (F.col("whole") + (at_place() < F.col("cut")).cast("int")).alias("copies"))
@@ -234,15 +233,25 @@ def _most_of(repeats: np.ndarray) -> Column:
     return F.coalesce(F.array_min(may), F.lit(0.0)).cast("double")
 
 
-def _cut(rate: float, places: list[tuple[int, int]]) -> tuple[int, int]:
-    """Place before which documents get one copy more, and the tokens that makes, closest to rate * tokens."""
-    by_place = np.zeros(CUTS + 1, np.int64)
-    for place, tokens in places:
-        by_place[place + 1] += tokens
-    sums = np.cumsum(by_place)
-    whole = int(np.floor(rate))
-    cut = int(np.abs(sums - (rate - whole) * sums[-1]).argmin()) if rate > whole else 0
-    return cut, int(whole * sums[-1] + sums[cut])
+def _cuts(known: DataFrame, rates: dict[str, float], tokens: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """Of each source the place before which documents get one copy more, and the tokens that makes in all.
+
+    It is the place where they are closest to rate * tokens. Sums run over at most CUTS rows a source, and one
+    row a source comes back.
+    """
+    if not rates:
+        return {}
+    extra = {s: (rate - np.floor(rate)) * tokens[s] for s, rate in rates.items()}
+    wanted = F.broadcast(known.sparkSession.createDataFrame([(s, float(x)) for s, x in extra.items()], "source string, extra double"))
+    by_place = known.groupBy("source", at_place().alias("place")).agg(F.sum("n_tokens").alias("n")).join(wanted, "source")
+    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("place"))
+    off = by_place.select("source", "place", so_far.alias("sum"), "extra").select("source", F.struct(F.abs(F.col("sum") - F.col("extra")).alias("off"), (F.col("place") + 1).alias("cut"), "sum").alias("at"))
+    cuts = {s: (0, int(np.floor(rate) * tokens[s])) for s, rate in rates.items()}
+    for r in off.groupBy("source").agg(F.min("at").alias("at")).collect():
+        s, at = r["source"], r["at"]
+        if at["off"] < extra[s]:
+            cuts[s] = at["cut"], cuts[s][1] + at["sum"]
+    return cuts
 
 
 def _copies(steps: np.ndarray, k: int):
