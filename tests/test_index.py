@@ -171,8 +171,8 @@ def test_other_views(micro, micro_index):
     assert [r["term"] for r in search.ordered_lists(micro_index, ["world", "hello", "x9"]).orderBy("place").collect()] == ["x9", "hello", "world"]
     assert tuples(search.posting_dump(micro_index, "hello")) == [(0, 2, REGIONS[0][0]), (3, 1, REGIONS[4][0])]
     assert tuples(index.term_ids(micro))[0] == ("abcdefghijklmno", 5)
-    lists = {r["term"]: [tuple(x) for x in r["list"]] for r in index.posting_lists(micro_index.postings).collect()}
-    assert lists["world"] == [(0, 1), (1, 2), (3, 1)]
+    lists = {(r["term"], r["slice"]): [tuple(x) for x in r["list"]] for r in index.posting_lists(micro_index.postings, 2).collect()}
+    assert lists["world", 0] == [(0, 1), (1, 2)] and lists["world", 1] == [(3, 1)]
     assert tuples(search.fetch(search.search(micro_index, "news", 1), micro, 5)) == [(1, 1, "World")]
     halves = [index.postings_of(micro.where(f"doc_id % 2 = {k}")) for k in (0, 1)]
     assert tuples(index.merge_postings(*halves)) == tuples(index.postings_of(micro))

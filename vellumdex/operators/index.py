@@ -69,10 +69,13 @@ def term_ids(corpus: DataFrame) -> DataFrame:
     return running_total(placed, ["doc_id", "pos"], F.lit(1), "term_id").select("term", "term_id")
 
 
-def posting_lists(postings: DataFrame) -> DataFrame:
-    """(term, df, list): each list whole, ascending by document. For export of lists of bounded length only."""
-    listed = F.sort_array(F.collect_list(F.struct("doc_id", "freq"))).alias("list")
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), listed)
+def posting_lists(postings: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """(term, slice, list): lists nested, ascending by document, in slices of `span` document ids.
+
+    The slices of a term in order are its list; none has more than `span` postings, however long the list is.
+    """
+    sliced = postings.withColumn("slice", F.floor(F.col("doc_id") / span))
+    return sliced.groupBy("term", "slice").agg(F.sort_array(F.collect_list(F.struct("doc_id", "freq"))).alias("list"))
 
 
 @dataclass
