@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,9 @@ from vellumdex.llm.encode import in_parts, texts_of
 from vellumdex.llm.labelled import labelled_sample
 from vellumdex.llm.language_text import paragraphs_of, words_of
 
-SUBWORD_BUCKETS = 1 << 16
+BUCKET_BITS = 16
+SUBWORD_BUCKETS = 1 << BUCKET_BITS
+WHOLE_BASE, SUBWORD_BASE = np.uint64(0x100000001B3), np.uint64(0x10FFFF)
 DIMENSIONS = 24
 SUBWORDS = (2, 3, 4)
 #: Bounds of training: labelled documents of each language, characters of one, and reference texts.
@@ -44,11 +45,36 @@ CYRILLIC = dict(
 )
 
 
-def hashes(word: str) -> list[int]:
-    """Buckets of a word and its subwords."""
-    w = f"<{word}>"
-    parts = [w, *(w[k : k + n] for n in SUBWORDS for k in range(len(w) - n + 1))]
-    return [xxhash.xxh32_intdigest(p.encode("utf-8", "replace")) & (SUBWORD_BUCKETS - 1) for p in parts]
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Bucket of each hash."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of their subwords, one word after another, and how many each word has.
+
+    Words are put between < and >. All of them are hashed at once: a subword by its characters as the digits of
+    a number, a whole word likewise with another base.
+    """
+    text = "".join(f"<{w}>" for w in words)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words])
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))  # characters from here to the word's end
+    place = np.arange(len(codes)) - starts[owner]
+    powers = np.cumprod(np.full(int(lengths.max()), WHOLE_BASE, np.uint64))
+    owners, hashes = [np.arange(len(words))], [np.add.reduceat(codes * powers[place], starts)]
+    for n in SUBWORDS:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            h = h * SUBWORD_BASE + codes[at + j]
+        owners.append(owner[at])
+        hashes.append(h)
+    of = np.concatenate(owners)
+    return mixed(np.concatenate(hashes))[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
 def plain_letters(words: list[str]) -> list[str]:
@@ -62,10 +88,12 @@ class Texts:
     """Training texts as one long list of buckets with a weight each, such that a text's vector is their weighted sum."""
 
     def __init__(self, texts: list[list[str]]):
-        known: dict[str, np.ndarray] = {}
+        words = list(dict.fromkeys(w for t in texts for w in t))
+        buckets, counts = buckets_of(words)
+        known = dict(zip(words, np.split(buckets, np.cumsum(counts)[:-1]), strict=True))
         self.buckets, self.weights = [], []
         for words in texts:
-            of = [known.setdefault(w, np.array(hashes(w), np.int32)) if w not in known else known[w] for w in words]
+            of = [known[w] for w in words]
             self.buckets.append(np.concatenate(of))
             self.weights.append(np.concatenate([np.full(len(o), 1 / (len(o) * len(of)), np.float32) for o in of]))
 
@@ -87,6 +115,7 @@ class Classifier:
         self.classes, self.scores, self.bias, self.sharpness, self.least, self.seen = classes, scores, bias, sharpness, least, seen
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(classes)), np.float32)
+        self.lengths, self.trained = np.zeros(1024, np.int32), np.zeros(1024, bool)
 
     def __getstate__(self) -> dict:
         return {"classes": self.classes, "scores": self.scores, "bias": self.bias, "sharpness": self.sharpness, "least": self.least, "seen": self.seen}
@@ -94,33 +123,45 @@ class Classifier:
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
 
-    def only_names(self, words: list[str]) -> bool:
-        return len(words) < NAME_WORDS and self.seen.isdisjoint(words)
-
-    def letters(self, words: list[str]) -> int:
-        """Letters that count: of words that training saw if these are half or more, else of all; names mostly weren't seen."""
-        known = [w for w in words if w in self.seen]
-        return sum(map(len, known if 2 * len(known) >= len(words) else words))
-
     def rows(self, words: list[str]) -> np.ndarray:
-        """Place of each word in `table`, which has what the word says for each class."""
+        """Place of each word in `table` (what it says for each class), `lengths` and `trained` (seen in training)."""
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        for w in set(words) - known.keys():
-            k = known[w] = len(known)
-            if k >= len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            self.table[k] = self.scores[hashes(w)].mean(axis=0)
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        new = list(set(words).difference(known))
+        if new:
+            first, most = len(known), len(known) + len(new)
+            if most > len(self.table):
+                size = max(most, 2 * len(self.table))
+                self.table = np.vstack([self.table, np.zeros((size - len(self.table), self.table.shape[1]), np.float32)])
+                self.lengths, self.trained = np.resize(self.lengths, size), np.resize(self.trained, size)
+            for k in range(0, len(new), 4096):
+                part = new[k : k + 4096]
+                buckets, counts = buckets_of(part)
+                at = first + k + np.arange(len(part))
+                self.table[at] = np.add.reduceat(self.scores[buckets], np.cumsum(counts) - counts, axis=0) / counts[:, None]
+                self.lengths[at] = [len(w) for w in part]
+                self.trained[at] = [w in self.seen for w in part]
+            known.update(zip(new, range(first, most), strict=True))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def log_odds(self, texts: list[list[str]]) -> np.ndarray:
         """Per text and class, before softmax; texts mustn't be empty of words."""
-        lengths = np.array([len(t) for t in texts])
-        rows = self.rows([w for t in texts for w in t])  # may enlarge the table
-        said = self.table[rows]
-        sums = np.add.reduceat(said, np.r_[0, np.cumsum(lengths)[:-1]], axis=0)
-        return (sums / lengths[:, None] + self.bias) * self.sharpness
+        return self.log_odds_and_letters(texts)[0]
+
+    def log_odds_and_letters(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`log_odds`, letters that count, and how many words training saw, of each text.
+
+        Letters count of words that training saw if these are half or more, else of all; names mostly weren't seen.
+        """
+        rows = self.rows([w for t in texts for w in t])
+        counts = np.array([len(t) for t in texts])
+        starts = np.cumsum(counts) - counts
+        odds = (np.add.reduceat(self.table[rows], starts, axis=0) / counts[:, None] + self.bias) * self.sharpness
+        trained, lengths = self.trained[rows], self.lengths[rows]
+        seen = np.add.reduceat(trained.astype(np.int64), starts)
+        letters = np.where(2 * seen >= counts, np.add.reduceat(lengths * trained, starts), np.add.reduceat(lengths, starts))
+        return odds, letters.astype(float), seen
 
     def predict(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Class number, -1 where rejected, and confidence of each text."""
@@ -241,17 +282,21 @@ def judge(model: Classifier, documents: list[list[list[str]]]) -> tuple[list[lis
     n, k = len(documents), len(model.classes)
     lang = [[None] * len(d) for d in documents]
     sure = [[0.0] * len(d) for d in documents]
-    where = [(i, j) for i, d in enumerate(documents) for j, words in enumerate(d) if words and not model.only_names(words)]
     own: list[str | None] = [None] * n
     own_sure = [0.0] * n
+    where = [(i, j) for i, d in enumerate(documents) for j, words in enumerate(d) if words]
     if not where:
         return lang, sure, own, own_sure
-    parts = [documents[i][j] for i, j in where]
+    counts = np.array([len(documents[i][j]) for i, j in where])
+    odds, letters, seen = model.log_odds_and_letters([documents[i][j] for i, j in where])
+    kept = (counts >= NAME_WORDS) | (seen > 0)
+    if not kept.any():
+        return lang, sure, own, own_sure
+    where = [at for at, keep in zip(where, kept.tolist(), strict=True) if keep]
+    counts, odds, letters = counts[kept], odds[kept], letters[kept]
     doc = np.array([i for i, _ in where])
-    letters = np.array([model.letters(words) for words in parts], float)
-    odds = model.log_odds(parts)
     # evidence grows with the number of words, up to a bound
-    strength = np.clip(np.array([len(words) for words in parts]) / 6, 1, 4)[:, None]
+    strength = np.clip(counts / 6, 1, 4)[:, None]
     alone = softmax(odds)
     mass = alone * letters[:, None]
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])

@@ -26,19 +26,20 @@ CODE_PIECE = regex.compile(r"\{[^{}]{0,2000}\}|\w{0,80}[(\[]\w{0,80}[\[\]()]{1,9
 #: A line with code and fewer blanks than this beside it has no prose.
 CODE_WORDS = 8
 #: What code can't do without; most lines have none of it.
-CODE_HINT = re.compile(r"[{}\[\]=;]|->|\w\(|[-+*/|&:!]=")
+CODE_HINT, CALL = re.compile(r"[{}\[\]=;>]"), re.compile(r"\w\(")
 #: Characters of a piece beyond which no language writes it without a space.
 LONGEST_PIECE = 35
-ODD_PIECE = re.compile(rf"\S*[\d/\\_=+]\S*|\S{{{LONGEST_PIECE + 1},}}")
+ODD_SIGN = re.compile(r"[\d/\\_=+]")
 #: A run of so many ASCII characters is no prose; it goes first, such that no later pattern meets one.
-LONG_RUN = re.compile(rf"[!-~]{{{LONGEST_PIECE + 1},}}")
+LONG_RUN = re.compile(rf"(?<![!-~])[!-~]{{{LONGEST_PIECE + 1},}}")
 LONGEST_WORD = 80
 SIGNS, FIGURE, LETTER = re.compile(r"[/\\_=+]"), re.compile(r"\d"), re.compile(r"[^\W\d_]")
 # Units, which after a number belong to it.
 UNIT = regex.compile(r"\d[^\S\r\n]?(?:km|cm|mm|m|kg|mg|g|ms|s|h|min|kb|mb|gb|tb|l|ml|am|pm|eur|usd|px|pt)\b", regex.I)
 ENTITY = regex.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{2,31});", regex.I)
-WORD = regex.compile(r"\p{L}+(?:['’]\p{L}+)*")
-UNSEEN = regex.compile(r"(?![\x00-\x7f])[\p{Cf}\p{Cc}\p{So}\p{No}\p{Mn}\p{Co}\p{Cn}ªº]")
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+NO_LETTERS = {c: " " for c in range(128) if not chr(c).isalpha() and chr(c) != "'"}
+UNSEEN = regex.compile(r"(?V1)[[\p{Cf}\p{Cc}\p{So}\p{No}\p{Mn}\p{Co}\p{Cn}ªº]--[\x00-\x7f]]")
 LATIN_TAIL = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 LEAD_AND_TAIL = re.compile("[\xc2-\xf4][\x80-\xbf" + "".join(map(chr, LATIN_TAIL)) + "]")
 TWICE_ENCODED = regex.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -69,6 +70,17 @@ def repaired(text: str) -> str:
     return unicodedata.normalize("NFKC", UNSEEN.sub("", unicodedata.normalize("NFC", text)))
 
 
+def split_words(line: str) -> list[str]:
+    """Runs of letters, joined by single apostrophes; longer ones than LONGEST_WORD are none."""
+    if line.isascii() and "''" not in line:
+        words = line.translate(NO_LETTERS).split()
+        if "'" in line:
+            words = [w for w in (w.strip("'") for w in words) if w]
+    else:
+        words = WORD.findall(line)
+    return words if len(line) <= LONGEST_WORD else [w for w in words if len(w) <= LONGEST_WORD]
+
+
 def is_navigation(words: list[str]) -> bool:
     return len(words) <= NAVIGATION_WORDS and all(w in NAVIGATION for w in words)
 
@@ -90,19 +102,19 @@ def words_of(paragraph: str) -> list[str]:
     text = LONG_RUN.sub(" ", text)
     out: list[str] = []
     for line in LINE.split(text):
-        if CODE_HINT.search(line) and CODE.search(line):
+        if (CODE_HINT.search(line) or ("(" in line and CALL.search(line))) and CODE.search(line):
             line = CODE_PIECE.sub(" ", line)
             if line.count(" ") < CODE_WORDS:
                 continue
-        if odd := ODD_PIECE.findall(line):
+        if ODD_SIGN.search(line):
             line = UNIT.sub(" ", line)
-            if any(map(is_blob, odd)):
-                pieces = line.split()
+            pieces = line.split()
+            if any(is_blob(p) for p in pieces if not p.isalpha()):
                 prose = [p for p in pieces if not is_blob(p)]
                 if len(pieces) - len(prose) >= max(3, len(prose)):
                     continue  # what is left of it may be a digest without figures
                 line = " ".join(prose)
-        words = [w for w in WORD.findall(line.lower()) if len(w) <= LONGEST_WORD]
+        words = split_words(line.lower())
         if words and not is_navigation(words):
             out += words
     return out
