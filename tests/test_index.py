@@ -111,6 +111,12 @@ def test_micro_queries(micro_index, text, mode, want):
     assert ranked(search.search(micro_index, text, mode)) == want
 
 
+def test_more_results_than_literals(micro_index, monkeypatch):
+    few = ranked(search.search(micro_index, "hello world", 1))
+    monkeypatch.setattr(search, "FEW", 1)
+    assert ranked(search.search(micro_index, "hello world", 1)) == few
+
+
 def test_limits_and_modes_are_checked(micro_index):
     for call in (lambda: search.search(micro_index, "hello", 0, 0), lambda: search.search(micro_index, "hello", 2)):
         with pytest.raises(ValueError):

@@ -13,6 +13,8 @@ from vellumdex.operators.index import SearchIndex
 
 ALL, ANY = 0, 1
 DIGITS = 6
+#: Results up to which documents are looked up by literal ids.
+FEW = 1000
 
 
 def known_terms(index: SearchIndex, text: str, key_length: int | None = None) -> dict[str, tuple[int, int]]:
@@ -74,11 +76,28 @@ def _ranked(df: DataFrame, limit: int) -> DataFrame:
     return first.select(place.alias("rank"), "doc_id", "bm25")
 
 
+def rank(index: SearchIndex, text: str, mode: int = ALL, limit: int = 10, key_length: int | None = None) -> DataFrame:
+    """(rank, doc_id, bm25): the best documents of a query, scores rounded to six digits, ties by doc_id."""
+    return _ranked(matches(index, text, mode, key_length).select("doc_id", F.round("bm25", DIGITS).alias("bm25")), limit)
+
+
+def of_documents(table: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Rows of a table that has a doc_id, for some ranked documents, with the columns of `ranked`.
+
+    Up to FEW ranked rows are fetched first: their ids are literals that reach the table's files, which then are
+    read only where they may have them. More are broadcast if Spark finds them small enough, else shuffled.
+    """
+    rows = ranked.limit(FEW + 1).collect()
+    if len(rows) > FEW:
+        return ranked.join(table, "doc_id")
+    few = F.broadcast(ranked.sparkSession.createDataFrame(rows, ranked.schema))
+    return table.where(F.col("doc_id").isin([r["doc_id"] for r in rows])).join(few, "doc_id")
+
+
 def search(index: SearchIndex, text: str, mode: int = ALL, limit: int = 10, key_length: int | None = None) -> DataFrame:
-    """(rank, doc_id, url, bm25): the best documents of a query, scores rounded to six digits, ties by doc_id."""
-    found = matches(index, text, mode, key_length).select("doc_id", F.round("bm25", DIGITS).alias("bm25"))
-    ranked = _ranked(found, limit)
-    return F.broadcast(ranked).join(index.docs.select("doc_id", "url"), "doc_id").select("rank", "doc_id", "url", "bm25")
+    """(rank, doc_id, url, bm25): `rank` with addresses. Runs the ranking when called."""
+    ranked = rank(index, text, mode, limit, key_length)
+    return of_documents(index.docs.select("doc_id", "url"), ranked).select("rank", "doc_id", "url", "bm25")
 
 
 def search_many(index: SearchIndex, queries: DataFrame, mode: int = ALL, limit: int = 10) -> DataFrame:
@@ -124,7 +143,8 @@ def posting_dump(index: SearchIndex, term: str) -> DataFrame:
 
 def fetch(ranked: DataFrame, corpus: DataFrame, characters: int = 1_000_000) -> DataFrame:
     """(rank, doc_id, body): stored texts of some ranked documents, their first characters as asked for."""
-    return F.broadcast(ranked).join(corpus.select("doc_id", "body"), "doc_id").select("rank", "doc_id", F.substring("body", 1, characters).alias("body"))
+    found = of_documents(corpus.select("doc_id", "body"), ranked.select("rank", "doc_id"))
+    return found.select("rank", "doc_id", F.substring("body", 1, characters).alias("body"))
 
 
 def rendered(results: DataFrame) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumdex.functions.text import ascii_lower, query_words, terms
+from vellumdex.operators.search import of_documents
 
 WINDOW, READ = 512, 1_000_000
 
@@ -46,9 +47,9 @@ def snippets(ranked: DataFrame, corpus: DataFrame, text: str, last_positive: boo
     """(rank, doc_id, start, snippet): the window of the highest score, the earliest of equals; null if none has a word.
 
     With `last_positive`, the last window that has any of the words. The text is in lower case (ASCII letters
-    only) and one character shorter than the window. `ranked`, the few rows of a result, is broadcast.
+    only) and one character shorter than the window. Runs the ranking when called, if it wasn't yet.
     """
-    bodies = F.broadcast(ranked.select("rank", "doc_id")).join(corpus.select("doc_id", "body"), "doc_id")
+    bodies = of_documents(corpus.select("doc_id", "body"), ranked.select("rank", "doc_id"))
     scored = windows(bodies, text).where("score > 0")
     key = F.struct("start") if last_positive else F.struct("score", (-F.col("start")).alias("early"))
     best = scored.groupBy("doc_id").agg(F.max_by(F.struct("start", "window"), key).alias("best"))

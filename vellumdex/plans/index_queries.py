@@ -91,7 +91,7 @@ def bm25_repeated_term(spark, sf):
 
 
 def _top(spark, sf, text, mode):
-    return search.search(built(spark, sf), text, mode, 10).select("rank", "doc_id", "bm25")
+    return search.rank(built(spark, sf), text, mode, 10)
 
 
 def bm25_or_top10(spark, sf):
