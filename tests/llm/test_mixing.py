@@ -37,6 +37,8 @@ def test_mix(spark):
     for s in ("cooking", "sailing"):
         assert sum(r["n_tokens"] * r["copies"] for r in mixed if r["source"] == s) == rows[s]["mix_tokens"]
         assert rows[s]["reachable"] and abs(rows[s]["expected_tokens"] / total - rows[s]["target_share"]) < 1e-3
+    of_cooks = {r["copies"] for r in mixed if 410 <= r["doc_id"] < 420}
+    assert sum(r["copies"] for r in mixed if 400 <= r["doc_id"] < 410) > 10 and of_cooks <= {0, 1}  # guessed from their words
     assert rows["poems"]["tokens"] == 0 and not rows["poems"]["reachable"] and rows["gardens"]["reachable"]
     assert {r["source"] for r in mixing.short_sources(docs, targets).collect()} == {"poems"}
 

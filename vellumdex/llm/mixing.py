@@ -25,9 +25,11 @@ from vellumdex.session import written
 
 #: Bounds of the classifier's training: documents of each domain, characters of one.
 TRAINING_DOCUMENTS, TRAINING_CHARS = 60, 20_000
+#: Texts that training sees at least, the same ones again if there are fewer.
+TRAINING_TEXTS = 20_000
 MOST_SOURCES = 1000
 #: The fit ends when no domain's expected tokens move by more than this part of the total, or after so many steps.
-TOLERANCE, MOST_STEPS = 1e-5, 60
+TOLERANCE, MOST_STEPS = 1e-6, 60
 #: Documents of a source are cut at one of so many places when rates become whole numbers.
 CUTS = 1 << 14
 LEAST_MEMBERSHIP = 0.05
@@ -71,16 +73,18 @@ def fit_domains(documents: DataFrame, sources: list[str]) -> tuple[Classifier |
             labels.append(label)
     if len(set(labels)) < 2:
         return None, counts
-    return train(texts, np.array(labels), [*sources, ""], epochs=3), counts
+    # so many rounds that a small sample is learnt as well
+    return train(texts, np.array(labels), [*sources, ""], epochs=int(np.clip(TRAINING_TEXTS // len(texts), 3, 60))), counts
 
 
 def memberships(model: Classifier | None, prior: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Probabilities of the domains; a text without words, or no model, has the prior."""
+    """Probabilities of the domains; a text without words, or no model, has the prior. A domain of prior 0 has 0."""
     out = np.tile(prior, (len(texts), 1))
     words = [[w for p in paragraphs_of(t) for w in words_of(p)] for t in texts]
     full = [k for k, w in enumerate(words) if w]
     if model and full:
-        out[full] = softmax(model.log_odds([words[k] for k in full]) + np.log(prior + 1e-9))
+        with np.errstate(divide="ignore"):
+            out[full] = softmax(model.log_odds([words[k] for k in full]) + np.log(prior))
     return out
 
 
@@ -109,7 +113,8 @@ def measured_documents(documents: DataFrame, targets: Targets, vocabulary: str)
     """(doc_id, source, n_tokens, membership) in the shared folder; membership is null where the source is known."""
     context = documents.sparkSession.sparkContext
     model, counts = fit_domains(documents, targets.sources)
-    prior = (counts + 1e-3) / (counts + 1e-3).sum()
+    # a source without documents can't be guessed from any; without labelled documents all are of other domains
+    prior = counts / counts.sum() if counts.any() else np.eye(len(counts))[-1]
     file, shared = context.broadcast(Path(vocabulary).read_bytes()), context.broadcast((model, prior))
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"), plain_source().alias("source"))
@@ -155,9 +160,8 @@ def fit_rates(groups: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
             sums[r["domain"]] = r["tokens"]
         return sums
 
-    with np.errstate(divide="ignore"):
-        # rate 1 for all: one step of pull 1 in each domain, as memberships sum to 1
-        size = expected(np.ones((1, k)))
+    # rate 1 for all: one step of pull 1 in each domain, as memberships sum to 1
+    size = expected(np.ones((1, k)))
     steps = np.zeros((0, k))
     now = np.zeros(k)
     for _ in range(MOST_STEPS):
