@@ -28,8 +28,8 @@ SUBWORDS = (2, 3, 4)
 #: Bounds of training: labelled documents of each language, characters of one, and reference texts.
 TRAINING_DOCUMENTS, TRAINING_CHARS, REFERENCE_TEXTS = 150, 20_000, 5000
 CACHED_WORDS = 300_000
-#: Texts shorter than this number of words have a language only if training saw one of the words SEEN times.
-NAME_WORDS, SEEN = 4, 3
+#: Texts shorter than this number of words have a language only if training saw one of the words SEEN times (texts are given twice).
+NAME_WORDS, SEEN = 4, 6
 #: Paragraphs from so many words on can teach words that the first model doesn't know.
 CLEAR_WORDS = 12
 #: A confidence above this is never rejected.
@@ -277,7 +277,7 @@ def judge(model: Classifier, documents: list[list[list[str]]]) -> tuple[list[lis
 
     What the other paragraphs say is a paragraph's prior, such that a few ambiguous words don't make a document
     a mixed one. The document has the language of most letters of its paragraphs. Paragraphs of few words, none
-    of which training saw more than twice, are taken for names.
+    of which training saw SEEN times, are taken for names.
     """
     n, k = len(documents), len(model.classes)
     lang = [[None] * len(d) for d in documents]
