@@ -125,7 +125,7 @@ def sketch_of(weighted: DataFrame) -> tuple[DataFrame, DataFrame]:
     bounded = winners
     for r in (0, 1):
         row = counters.where(F.col("kind") == r).select(F.col("place").alias(f"cell{r}"), F.col("weight").alias(f"count{r}"))
-        bounded = bounded.withColumn(f"cell{r}", cell_column(r)).join(F.broadcast(row), f"cell{r}", "left")
+        bounded = bounded.withColumn(f"cell{r}", cell_column(r)).join(row, f"cell{r}", "left")
     most = F.col("held") + F.least(*(F.coalesce(f"count{r}", F.lit(0)) for r in (0, 1)))
     return bounded.select("hash", "word", "held", most.alias("at_most")), counters
 
