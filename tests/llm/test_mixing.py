@@ -92,3 +92,26 @@ def test_cuts_are_as_near_as_can_be(spark):
         assert got == sum(x["n_tokens"] * (int(rate) + (x["place"] < cut)) for x in places if x["source"] == s)
         assert abs(got - rate * tokens[s]) <= 100
     assert cuts["a"] == (0, 0) and cuts["c"] == (0, tokens["c"]) and mixing._cuts(df, {}, {}) == {}
+
+
+@pytest.mark.parametrize("own_first", [False, True])
+def test_copies_without_a_source_are_reported(spark, own_first):
+    """A third of the rows has no source; sailing falls short, cooking doesn't."""
+    rows = [(k, f"{COOKS} number {k}", "cooking") for k in range(180)] + [(k, f"{SAILORS} number {k}", "sailing") for k in range(180, 200)]
+    rows += [(k, f"{COOKS} number {k}" if k % 2 else f"{SAILORS} number {k}", None) for k in range(200, 300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("cooking", 0.4, 2), ("sailing", 0.6, 2)], TARGETS)
+    taken, report = mixing.mix(docs, targets, own_first=own_first)
+    found, mixed = {r["source"]: r for r in report.collect()}, taken.collect()
+    whole = sum(r["n_tokens"] * r["copies"] for r in mixed)
+    assert set(found) == {"cooking", "sailing", None}
+    for s, r in found.items():
+        assert r["mix_tokens"] == sum(x["n_tokens"] * x["copies"] for x in mixed if x["source"] == s)
+        assert r["mix_share"] == pytest.approx(r["mix_tokens"] / whole) and r["total_share"] == pytest.approx(r["mix_tokens"] / r["total"])
+    assert sum(r["mix_share"] for r in found.values()) == pytest.approx(1)
+    assert found[None]["documents"] == 100 and found[None]["reachable"] is None and not found["sailing"]["reachable"]
+    copies = {r["doc_id"]: r["copies"] for r in mixed}
+    assert all(copies[k] == 2 for k in range(200, 300, 2))
+    if own_first:
+        assert found["cooking"]["total_share"] == pytest.approx(0.4, abs=0.005)
+        assert not any(copies[k] for k in range(201, 300, 2))

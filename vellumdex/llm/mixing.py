@@ -178,7 +178,7 @@ def at_place() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(CUTS)).cast("int")
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE, own_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, n_tokens, copies), and the report of the shares reached (see REPORT).
 
     The mix's size is the number of tokens of all rows of `documents`. Sources are compared in lower case
@@ -186,8 +186,15 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE
     their probable domains in expected_tokens, with the fewest repeats of the domains they may belong to.
     copies is 0 for documents left out, so the mix has a row for each document of a wanted or missing source.
     mix_tokens are those of the labelled documents taken, total_share their part of the mix's intended size,
-    mix_share their part of all labelled tokens in the mix, which is smaller where sources fall short; reachable says whether all documents at max_repeats hold target_share of the total, exactly. A wanted
-    source without documents has 0 tokens; with no tokens at all every target is 0 and reachable.
+    mix_share their part of all tokens in the mix, which is smaller where sources fall short; reachable says
+    whether all documents at max_repeats hold target_share of the total, exactly. A wanted source without
+    documents has 0 tokens; with no tokens at all every target is 0 and reachable. Where the mix has copies of
+    documents without a source, the report has a row of source null for them, without target, repeats and
+    reachable; its expected_tokens stand in those of the sources as well. mix_share sums to 1 over all rows.
+
+    With `own_first`, a source's own documents meet its target by themselves where they can. Documents without a
+    source are then taken only where the most probable of their domains is a source that falls short; else
+    labelled documents give way to those that are probably of the same source.
 
     The tokens of all texts are counted once; the fit needs a few small jobs; copies need no shuffle.
     """
@@ -202,39 +209,62 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE
     wanted = np.append(targets.shares * total, 0.0)
     repeats = targets.repeats.astype(float)
 
-    labelled = [(np.eye(k)[i].tolist(), float(repeats[i]), float(held[s][1])) for i, s in enumerate(targets.sources) if s in held]
-    soft = measured.where("source IS NULL").select("membership", _most_of(repeats).alias("most"), F.col("n_tokens").cast("double").alias("tokens"))
+    own = np.array([float(held.get(s, (0, 0))[1]) for s in targets.sources])
+    met = np.minimum(repeats * own, wanted[:-1])
+    short = met < wanted[:-1]
+    labelled = [] if own_first else [(np.eye(k)[i].tolist(), float(repeats[i]), own[i].item()) for i, s in enumerate(targets.sources) if s in held]
+    most = _most_of(repeats, short if own_first else None).alias("most")
+    soft = measured.where("source IS NULL").select("membership", most, F.col("n_tokens").cast("double").alias("tokens"))
     schema = "membership array<double>, most double, tokens double"
     groups = written(spark.createDataFrame(labelled, schema).unionByName(soft), "groups")
-    steps, expected = fit_rates(groups, wanted)
+    if own_first:
+        fixed = np.append(met, 0.0)
+        steps, added = fit_rates(groups, wanted - fixed)
+        expected, own_rates = fixed + added, np.divide(met, own, out=np.zeros(k - 1), where=own > 0)
+    else:
+        steps, expected = fit_rates(groups, wanted)
+        own_rates = np.array([replay(steps, np.eye(k)[[i]], repeats[[i]])[0] for i in range(k - 1)])
 
     # whole copies: all documents of a source have one rate; those before a cut get one copy more than the others
-    rates = {s: float(replay(steps, np.eye(k)[[i]], repeats[[i]])[0]) for i, s in enumerate(targets.sources) if s in held}
+    rates = {s: float(own_rates[i]) for i, s in enumerate(targets.sources) if s in held}
     known = measured.where(F.col("source").isin(list(held))) if held else measured.limit(0)
     cuts = _cuts(known, rates, {x: held[x][1] for x in rates})
     rate_rows = [(s, int(np.floor(rates[s])), cuts[s][0]) for s in rates]
     table = F.broadcast(spark.createDataFrame(rate_rows, "source string, whole int, cut int"))
     certain = known.join(table, "source").select("doc_id", "source", "n_tokens", (F.col("whole") + (at_place() < F.col("cut")).cast("int")).alias("copies"))
-    unsure = measured.where("source IS NULL").withColumn("most", _most_of(repeats))
+    unsure = measured.where("source IS NULL").withColumn("most", most)
     kind = unsure.schema["doc_id"].dataType.simpleString()
     copied = unsure.select("doc_id", "n_tokens", "membership", "most", (at_place() / F.lit(float(CUTS))).alias("u")).mapInArrow(_copies(steps, k), f"doc_id {kind}, source string, n_tokens bigint, copies int")
     taken = certain.unionByName(copied)
 
-    mix_total = sum(t for _, t in cuts.values())
+    guessed = copied.agg(F.count(F.lit(1)), F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies"))).first()
+    n_guessed, guessed_tokens, guessed_taken = (x or 0 for x in guessed)
+    mix_total = sum(t for _, t in cuts.values()) + guessed_taken
     rows = []
     for i, s in enumerate(targets.sources):
         n, tokens = held.get(s, (0, 0))
         got = cuts[s][1] if s in cuts else 0
         reachable = not tokens * int(targets.repeats[i]) < targets.shares[i] * total
         rows.append((s, float(targets.shares[i]), int(targets.repeats[i]), n, tokens, total, rates.get(s, 0.0), got, float(expected[i]), got / total if total else 0.0, got / mix_total if mix_total else 0.0, bool(reachable)))
+    if guessed_taken:
+        of_guessed = float(expected.sum() - sum(rates[s] * held[s][1] for s in rates))
+        rows.append((None, None, None, n_guessed, guessed_tokens, total, of_guessed / guessed_tokens, guessed_taken, of_guessed, guessed_taken / total, guessed_taken / mix_total, None))
     return taken, spark.createDataFrame(rows, REPORT)
 
 
-def _most_of(repeats: np.ndarray) -> Column:
-    """Most repeats of a document by its membership: the fewest of the wanted domains it may belong to, 0 if of none."""
+def _most_of(repeats: np.ndarray, short: np.ndarray | None = None) -> Column:
+    """Most repeats of a document by its membership: the fewest of the wanted domains it may belong to, 0 if of none.
+
+    With `short`, 0 as well where the most probable domain isn't a wanted one that falls short.
+    """
     listed = F.array(*(F.lit(float(r)) for r in repeats)) if len(repeats) else F.array().cast("array<double>")
     may = F.transform(F.arrays_zip(F.slice("membership", 1, max(1, len(repeats))).alias("p"), listed.alias("r")), lambda x: F.when(x["p"] >= LEAST_MEMBERSHIP, x["r"]))
-    return F.coalesce(F.array_min(may), F.lit(0.0)).cast("double")
+    most = F.coalesce(F.array_min(may), F.lit(0.0)).cast("double")
+    if short is None:
+        return most
+    likely = F.array_position("membership", F.array_max("membership"))
+    places = [i + 1 for i in np.flatnonzero(short).tolist()]
+    return F.when(likely.isin(places) if places else F.lit(False), most).otherwise(0.0)
 
 
 def _cuts(known: DataFrame, rates: dict[str, float], tokens: dict[str, int]) -> dict[str, tuple[int, int]]:

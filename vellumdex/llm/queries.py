@@ -62,11 +62,11 @@ def p7_found(spark, sf):
 
 
 def p7_mix(spark, sf):
-    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), own_first=True)[0]
 
 
 def p7_shares(spark, sf):
-    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), own_first=True)[1]
 
 
 def p8_found(spark, sf):
