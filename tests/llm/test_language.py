@@ -113,6 +113,21 @@ def test_labelled_documents_teach_new_words(reference):
     assert [m.classes[b] for b in best] == list(new) and sure.min() > 0.9
 
 
+def test_letters_count_of_words_that_training_did_not_see(model):
+    """The longer paragraph is just over half covered by the words seen, the shorter one wholly."""
+    r = random.Random(6)
+    longer, shorter = words_of(prose("en", 5, r)), words_of(prose("de", 3, r))
+    seen: set[str] = set()
+    for w in sorted(set(longer), key=lambda w: (len(w), w)):
+        if 2 * sum(x in seen for x in longer) < len(longer):
+            seen.add(w)
+    letters = [sum(map(len, words)) for words in ([w for w in longer if w in seen], shorter, longer)]
+    assert letters[0] < letters[1] < 0.9 * letters[2]
+    partly = language.Classifier(**{**model.__getstate__(), "seen": frozenset(seen | set(shorter))})
+    lang, _, own, _ = language.judge(partly, [[longer, shorter]])
+    assert lang == [["en", "de"]] and own == ["en"]
+
+
 @pytest.mark.parametrize(
     "piece", ["a", "a1", "(", "[(", "{", "}", "=", "a=", "&", "&#", "<", "<a", "<!--", "@", "a@", "://", "www.", "é", "Ã", "Ã\xad", ";", "; ", " ", "\n", "\n ", "a\n\n", "文", "a(", "1 ", "x'", "́"]
 )

@@ -152,7 +152,8 @@ class Classifier:
     def log_odds_and_letters(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """`log_odds`, letters that count, and how many words training saw, of each text.
 
-        Letters count of words that training saw if these are half or more, else of all; names mostly weren't seen.
+        Letters count of words that training saw, and of others unless the model by the word alone gives the text's
+        language less than an even chance among all classes, as it mostly does for names.
         """
         rows = self.rows([w for t in texts for w in t])
         counts = np.array([len(t) for t in texts])
@@ -160,7 +161,10 @@ class Classifier:
         odds = (np.add.reduceat(self.table[rows], starts, axis=0) / counts[:, None] + self.bias) * self.sharpness
         trained, lengths = self.trained[rows], self.lengths[rows]
         seen = np.add.reduceat(trained.astype(np.int64), starts)
-        letters = np.where(2 * seen >= counts, np.add.reduceat(lengths * trained, starts), np.add.reduceat(lengths, starts))
+        counted, new = trained.copy(), np.flatnonzero(~trained)
+        own = np.repeat(odds.argmax(axis=1), counts)[new]
+        counted[new] = softmax((self.table[rows[new]] + self.bias) * self.sharpness)[np.arange(len(new)), own] >= 1 / len(self.classes)
+        letters = np.add.reduceat(lengths * counted, starts)
         return odds, letters.astype(float), seen
 
     def predict(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
