@@ -185,6 +185,9 @@ def most_frequent_words(term_chunk: DataFrame, lexicon: DataFrame, n: int = 50)
 
 
 def estimated_words(term_chunk: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, at_least, at_most): what the sketch alone says of the words that hold a bucket, in one pass."""
+    """(word, at_least, at_most): what the sketch alone says of the words that hold a bucket, in one pass.
+
+    A frequent word is missing where another holds its bucket; its weight is at most the smaller of its two counters.
+    """
     holders, _ = sketch_of(list_weights(term_chunk, lexicon).where("word IS NOT NULL"))
     return holders.select("word", F.col("held").alias("at_least"), "at_most")
