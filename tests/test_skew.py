@@ -3,7 +3,7 @@ from helpers import CHUNK, DOCS, ENTRY, at, chunk_rows, clean, doc_rows, sizes,
 
 from vellumdex.operators.feed import clean_postings, document_sizes, list_words, stated_lengths
 from vellumdex.operators import skew
-from vellumdex.operators.skew import heavy_keys, heavy_terms, per_term_loads, sized_postings, spread_join
+from vellumdex.operators.skew import heavy_keys, heavy_terms, join_on_skewed, per_term_loads, sized_postings
 
 
 @pytest.fixture(scope="module")
@@ -76,12 +76,12 @@ def test_sized_postings_with_and_without_heavy_documents(spark, rows, share):
     assert {(r["term_id"], r["doc_id"]): (r["run_id"], r["freq"], r["size"]) for r in got.collect()} == {k: (*v, known.get(k[1])) for k, v in clean(rows).items()}
 
 
-def test_spread_join_is_a_join(spark):
+def test_join_on_skewed_is_a_join(spark):
     left = spark.createDataFrame([(k % 5, v) for k, v in enumerate(range(400))] + [(None, 1)], "k bigint, v bigint")
     right = spark.createDataFrame([(k, k * 10) for k in range(4)], "k bigint, w bigint")
     plain = tuples(left.join(right, "k"))
     for keys in ([], [1, 2], list(range(100))):
-        assert tuples(spread_join(left, right, "k", "v", keys)) == plain
+        assert tuples(join_on_skewed(left, right, "k", keys)) == plain
 
 
 def test_stated_lengths_of_nothing(spark):

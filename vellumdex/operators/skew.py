@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from vellumdex.operators.feed import document_sizes, stated_lengths, usable_posting
 from vellumdex.session import shuffle_partitions
 
-#: The sketch takes at most a million slots; 16 of them a heavy key.
+#: The sketch takes at most a million slots; 16 of them a heavy key. From some 31,000 shuffle partitions on, a key just
+#: below this share is therefore more than half a partition, though never more than 1 / 62,500 of the rows.
 LEAST_SHARE = 16 / 1_000_000
 #: From so many shuffle partitions on, sketches merge in groups first, so that no task merges those of all tasks.
 ONE_STEP_BELOW = 257
@@ -33,6 +34,12 @@ def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> tuple[lis
 
     Null is no key, but its rows count. Runs one job; what comes back is bounded by `share`, not by `df`.
     """
+    keys, n = heavy_keys_of(df, [key], share)
+    return keys[key], n
+
+
+def heavy_keys_of(df: DataFrame, columns: list[str], share: float | None = None) -> tuple[dict[str, list], int]:
+    """`heavy_keys` of each of some columns, all found in the same pass."""
     share = balanced_share(df) if share is None else share
     if not LEAST_SHARE <= share <= 1:
         raise ValueError(f"share must lie between {LEAST_SHARE} and 1")
@@ -41,15 +48,15 @@ def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> tuple[lis
     parts = shuffle_partitions(df.sparkSession)
     n = F.count(F.lit(1)).alias("n")
     if parts < ONE_STEP_BELOW:
-        row = df.select(key).agg(F.expr(f"approx_top_k(`{key}`, {k}, {tracked})").alias("top"), n).first()
+        row = df.select(*columns).agg(n, *(F.expr(f"approx_top_k(`{c}`, {k}, {tracked})").alias(f"top{i}") for i, c in enumerate(columns))).first()
     else:
         group = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(parts)))
-        sketches = df.select(key).withColumn("_group", group).groupBy("_group").agg(F.expr(f"approx_top_k_accumulate(`{key}`, {tracked})").alias("sketch"), n)
-        merged = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {k})").alias("top")
-        row = sketches.groupBy(F.lit(1)).agg(merged, F.sum("n").alias("n")).first()
+        sketches = [F.expr(f"approx_top_k_accumulate(`{c}`, {tracked})").alias(f"sketch{i}") for i, c in enumerate(columns)]
+        merged = [F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch{i}, {tracked}), {k})").alias(f"top{i}") for i in range(len(columns))]
+        row = df.select(*columns).withColumn("_group", group).groupBy("_group").agg(n, *sketches).groupBy(F.lit(1)).agg(F.sum("n").alias("n"), *merged).first()
     if row is None:
-        return [], 0
-    return [x["item"] for x in row["top"] if x["item"] is not None and x["count"] >= share * row["n"]], row["n"]
+        return {c: [] for c in columns}, 0
+    return {c: [x["item"] for x in row[f"top{i}"] if x["item"] is not None and x["count"] >= share * row["n"]] for i, c in enumerate(columns)}, row["n"]
 
 
 def key_table(df: DataFrame, key: str, keys: list) -> DataFrame:
@@ -120,56 +127,38 @@ def heavy_terms(term_chunk: DataFrame, share: float = 0.01) -> DataFrame:
     return loads.crossJoin(F.broadcast(total)).where(enough).select("term_id")
 
 
-def postings_by_document(term_chunk: DataFrame, share: float | None = None) -> tuple[DataFrame, DataFrame | None, list]:
-    """Clean postings shuffled on doc_id alone, those of heavy documents apart, and these documents' ids.
+def sized_postings(term_chunk: DataFrame, doc_entry: DataFrame, share: float | None = None, heavy_docs: list | None = None) -> DataFrame:
+    """(doc_id, run_id, term_id, freq, size): clean postings with the size of their document, null if unknown.
 
-    Both parts have run_id, term_id, doc_id, freq. A document that holds more rows than a task should take is
-    shuffled on (doc_id, term_id) instead. Without heavy documents the second part is None.
+    One shuffle on doc_id serves both the unique postings and the join with the sizes. A document that holds more
+    rows than a task should take (`heavy_docs`, looked for if not given) is shuffled on (doc_id, term_id) instead,
+    and its size, one row, is broadcast. Postings without a `doc_entry` row stay, with a null size.
     """
     rows = term_chunk.select("run_id", "term_id", "doc_id", "freq", "loaded_at").where(usable_posting())
-    keys, _ = heavy_keys(rows, "doc_id", share)
+    keys = heavy_keys(rows, "doc_id", share)[0] if heavy_docs is None else heavy_docs
     heavy, rest = split(rows, "doc_id", keys)
+    sizes = document_sizes(doc_entry)
 
     def unique(part: DataFrame) -> DataFrame:
         latest = F.max(F.struct("loaded_at", "freq", "run_id")).alias("latest")
-        flat = [F.col("latest.run_id").alias("run_id"), "term_id", "doc_id", F.col("latest.freq").alias("freq")]
-        return part.groupBy("doc_id", "term_id").agg(latest).select(*flat)
-
-    return unique(rest.repartition("doc_id")), unique(heavy) if keys else None, keys
-
+        return part.groupBy("doc_id", "term_id").agg(latest).select(F.col("latest.run_id").alias("run_id"), "term_id", "doc_id", F.col("latest.freq").alias("freq"))
 
-def sized_postings(term_chunk: DataFrame, doc_entry: DataFrame, share: float | None = None) -> DataFrame:
-    """(doc_id, run_id, term_id, freq, size): clean postings with the size of their document, null if unknown.
-
-    One shuffle on doc_id serves both the unique postings and the join with the sizes; the sizes of heavy
-    documents, one row each, are broadcast. Postings without a `doc_entry` row stay, with a null size.
-    """
-    tail, heavy, keys = postings_by_document(term_chunk, share)
-    sizes = document_sizes(doc_entry)
-    sized = tail.join(sizes, "doc_id", "left")
-    if heavy is None:
+    sized = unique(rest.repartition("doc_id")).join(sizes, "doc_id", "left")
+    if not keys:
         return sized
     few = sizes.join(key_table(sizes, "doc_id", keys), "doc_id", "left_semi")
-    return sized.unionByName(heavy.join(F.broadcast(few), "doc_id", "left"))
+    return sized.unionByName(unique(heavy).join(F.broadcast(few), "doc_id", "left"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, keys: list, copies: int = 32) -> DataFrame:
-    """Inner join on `key`, `right` having one row a key, with the heavy `keys` of `left` salted.
+def join_on_skewed(left: DataFrame, right: DataFrame, key: str, keys: list) -> DataFrame:
+    """Inner join on `key`, `right` having one row a key, of which `keys` hold many rows of `left`.
 
-    Rows of a heavy key go to `copies` places by a hash of `spread_by`; the one row of `right` for such a key
-    is repeated as often. At most len(keys) * copies rows are added. Null keys match nothing.
+    These rows stay where they are: what `right` has for them, at most one row each, is broadcast to them. All
+    other rows take the ordinary join. Null keys match nothing.
     """
+    heavy, rest = split(left, key, keys)
+    joined = rest.join(right, key)
     if not keys:
-        return left.join(right, key)
-
-    def marked(df: DataFrame) -> DataFrame:
-        if len(keys) <= 64:
-            return df.withColumn("_heavy", F.coalesce(F.col(key).isin(keys), F.lit(False)))
-        table = key_table(df, key, keys).withColumn("_heavy", F.lit(True))
-        return df.join(F.broadcast(table), key, "left").withColumn("_heavy", F.coalesce("_heavy", F.lit(False)))
-
-    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread_by), F.lit(copies))).otherwise(F.lit(0)).cast("int")
-    places = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
-    salted = marked(left).withColumn("_salt", salt).drop("_heavy")
-    repeated = marked(right).withColumn("_salt", F.explode(places)).drop("_heavy")
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+        return joined
+    few = right.join(key_table(right, key, keys), key, "left_semi")
+    return heavy.join(F.broadcast(few), key).unionByName(joined)
