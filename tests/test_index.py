@@ -11,7 +11,7 @@ from vellumdex.functions.codec import vb_hex, vb_numbers, vb_size
 from vellumdex.functions.text import query_words
 from vellumdex.operators import blocks, index, search, snippets
 from vellumdex.operators.prefix import running_total
-from vellumdex.sources.corpus import byte_prefix, from_pages, from_table, read_trec
+from vellumdex.sources.corpus import byte_prefix, from_pages, from_table, read_trec, regions_at, write_trec
 
 REGIONS = [
     ("http://a.example/0", "Hello, world! hello"),
@@ -83,6 +83,45 @@ def test_trec_prefix_and_long_address(spark, folder):
         read_trec(spark, "x", 11)
 
 
+def test_regions_are_read_from_where_the_documents_table_says(spark, folder, micro, micro_index):
+    bodies = {d: b for d, b in tuples(micro.select("doc_id", "body"))}
+    assert dict(tuples(regions_at(micro_index.docs.drop("url")))) == bodies
+    found = search.search(micro_index, "hello news", search.ANY)
+    assert {d: b for _, d, b in tuples(search.fetch_regions(micro_index, found))} == {k: bodies[k] for k in (0, 1, 3)}
+    assert tuples(search.fetch_regions(micro_index, search.search(micro_index, "news", 1), 5)) == [(1, 1, "World")]
+    moved = folder / "a folder" / "100%.trec"
+    moved.parent.mkdir()
+    moved.write_bytes(TREC.encode())
+    assert tuples(search.fetch_regions(micro_index, search.search(micro_index, "bar", 1), file=str(moved))) == [(1, 2, bodies[2])]
+    elsewhere = index.SearchIndex.build(read_trec(spark, str(moved.parent)), f"{folder}/elsewhere")
+    assert tuples(search.fetch_regions(elsewhere, search.search(elsewhere, "bar", 1))) == [(1, 2, bodies[2])]
+    plan = search.fetch_regions(micro_index, found)._jdf.queryExecution().toString()
+    assert "Scan text" not in plan and "In(doc_id" in plan
+    nowhere = index.SearchIndex.build(from_table(micro.withColumnRenamed("body", "text").drop("file", "offset")), f"{folder}/nowhere")
+    assert search.fetch_regions(nowhere, search.search(nowhere, "news", 1)).count() == 0
+
+
+def test_written_files_are_read_again(spark, folder):
+    rows = [(2, "http://b/", "two\n"), (1, "http://a/", None), (3, None, "three"), (4, "http://d/", "ends </TEXT> early"), (5, "http://é/", "<TEXT>\nhttp://inner/\nx")]
+    write_trec(spark.createDataFrame(rows, "doc_id bigint, url string, text string"), f"{folder}/made")
+    got = tuples(read_trec(spark, f"{folder}/made").select("doc_id", "url", "body"))
+    assert got == [(0, "http://a/", ""), (1, "http://b/", "two\n"), (2, "http://d/", "ends"), (3, "http://é/", "<TEXT>\nhttp://inner/\nx")]
+
+
+def test_places_go_on_over_batches(spark, folder):
+    (folder / "long.trec").write_text("".join(f"<TEXT>\nhttp://u/{k}\n{'é' * (k % 9)}\n</TEXT>\n" for k in range(3000)))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = read_trec(spark, str(folder / "long.trec"))
+        raw = (folder / "long.trec").read_bytes()
+        for r in got.collect():
+            assert raw[r["offset"] : r["offset"] + r["doc_size"]].decode() == f"http://u/{r['doc_id']}\n{'é' * (r['doc_id'] % 9)}"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got.count() == 3000
+
+
 def test_micro_postings(micro_index):
     want = "abcdefghijklmno 2 1|bar 2 1|big 3 1|caf 2 1|hello 0 2|hello 3 1|news 1 1|the 1 1|there 3 1|turns 1 1|world 0 1|world 1 2|world 3 1|x9 2 1"
     assert [" ".join(map(str, r)) for r in sorted(tuples(micro_index.postings.select("term", "doc_id", "freq")))] == want.split("|")
@@ -142,6 +181,33 @@ def test_batch_equals_single_queries(spark, micro_index):
             assert sorted(got.get(k, [])) == single
 
 
+def test_batches_of_many_words_are_joined_as_tables(spark, micro_index, monkeypatch):
+    queries = spark.createDataFrame([(1, "hello world"), (1, "zzz news"), (2, "world"), (None, "bar")], "query_id int, text string")
+    for mode in (0, 1):
+        few = tuples(search.search_many(micro_index, queries, mode))
+        monkeypatch.setattr(search, "FEW_WORDS", 1)
+        assert tuples(search.search_many(micro_index, queries, mode)) == few and few
+        monkeypatch.undo()
+    assert search.search_many(micro_index, queries.limit(0)).count() == 0 == search.search_many(micro_index, queries.where("false")).count()
+
+
+def test_batch_reads_its_terms_only_whatever_the_size_of_the_lexicon(spark, micro_index):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+        plan = search.search_many(micro_index, spark.createDataFrame([(1, "hello world zzz")], "query_id int, text string"))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "In(term, [hello,world])" in plan and "hashpartitioning(term" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_words_are_looked_up_once(micro_index, monkeypatch):
+    micro_index.remembered.clear()
+    assert micro_index.frequencies(["hello", "zzz", "hello"]) == {"hello": 2} and micro_index.remembered == {"hello": 2, "zzz": None}
+    monkeypatch.setattr(index, "REMEMBERED", 2)
+    assert micro_index.frequencies(["zzz", "world"]) == {"world": 3} and set(micro_index.remembered) == {"zzz", "world"}
+
+
 def test_table_corpus_edge_cases(spark, folder):
     long = "word " * 50_000 + "end"
     rows = [(0, None, "x"), (1, "", "x"), (2, "same same", "x"), (3, "same same", "x"), (4, long, "x"), (5, "éé ßß 𝒳", "x")]
@@ -217,6 +283,25 @@ def test_snippets(spark):
     assert best[2]["snippet"] is None and best[3]["snippet"] is None
     last = {r["doc_id"]: r["start"] for r in snippets.snippets(ranks, corpus, "needle", last_positive=True).collect()}
     assert last[1] >= best[1]["start"]
+    assert [r["start"] for r in snippets.windows(corpus, "needle").where("doc_id = 1").orderBy("start").collect()] == list(range(0, len(body) - 512, 512))
+
+
+def test_windows_of_very_long_and_odd_bodies(spark):
+    body = "é𝒳\n " * 1_000_000 + " needle " + "x" * 600
+    corpus = from_table(spark.createDataFrame([(1, body), (2, "y" * 512), (3, "y" * 513), (4, "")], "doc_id bigint, text string"))
+    found = {(r["doc_id"], r["start"]): r["window"] for r in snippets.windows(corpus, "needle").where("score > 0 OR doc_id > 1").collect()}
+    start = 4_000_000 // 512 * 512
+    assert found == {(1, start): body[start : start + 512], (3, 0): "y" * 512}
+
+
+def test_snippets_from_files_equal_those_of_a_table(spark, folder):
+    long = "".join(f"<TEXT>\nhttp://u/{k}\n{'some words and ' * (60 * k)} needle {'more words ' * 90}\n</TEXT>\n" for k in range(4))
+    (folder / "s.trec").write_text(long)
+    corpus = read_trec(spark, str(folder / "s.trec"))
+    built = index.SearchIndex.build(corpus, f"{folder}/s")
+    top = search.search(built, "needle words", 1)
+    assert tuples(snippets.region_snippets(built, top, "needle")) == tuples(snippets.snippets(top, corpus, "needle"))
+    assert {r["start"] for r in snippets.region_snippets(built, top, "needle", characters=100).collect()} == {None}
 
 
 def test_running_total(spark):
@@ -248,7 +333,7 @@ def test_query_reads_its_terms_only(micro_index):
 
 
 def test_stream_append(spark, folder):
-    from vellumdex.streaming.append import append_batch, append_stream, grown_index
+    from vellumdex.streaming.append import append_batch, append_stream, compact, grown_index
 
     source, out = folder / "stream", f"{folder}/grown"
     source.mkdir()
@@ -263,6 +348,13 @@ def test_stream_append(spark, folder):
     whole = index.postings_of(from_table(every))
     assert grown.n_docs == 12 and tuples(grown.postings.select("term", "doc_id", "freq")) == tuples(whole)
     assert search.search(grown, "common word1", search.ALL).count() == 3
+    merged = compact(spark, out, f"{folder}/merged")
+    for name in ("docs", "postings", "lexicon"):
+        assert tuples(getattr(merged, name)) == tuples(getattr(grown, name))
+    assert (merged.n_docs, merged.avg_doc_size) == (grown.n_docs, grown.avg_doc_size)
+    append_batch(spark.createDataFrame([(100, "common late")], "doc_id bigint, text string"), f"{folder}/merged", 3)
+    later = grown_index(spark, f"{folder}/merged")
+    assert later.n_docs == 13 and later.frequencies(["common", "late", "word1"]) == {"common": 13, "late": 1, "word1": 3}
 
 
 def test_command_line(spark, folder, micro):
@@ -271,5 +363,8 @@ def test_command_line(spark, folder, micro):
     said = []
     main(["build", str(folder / "micro.trec"), f"{folder}/cli"], out=said.append)
     main(["query", f"{folder}/cli", "--mode", "1", "--corpus", str(folder / "micro.trec")], iter(["hello world\n", "zzz\n", "\n", "news\n"]), said.append)
+    again = []
+    main(["query", f"{folder}/cli", "--mode", "1", "--corpus"], iter(["hello world\n", "zzz\n"]), again.append)
+    assert again == said[1:]
     assert said[0] == "4 documents, 11 terms" and said.count("Showing Top 10") == 2 and "No result found." in said
     assert said[2].startswith("[1]\thttp://e.example/3\nBM25: \t-1.420098\n<Snippet>")

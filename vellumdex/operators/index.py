@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +52,9 @@ def prefix_lexicon(lexicon: DataFrame, length: int = 14) -> DataFrame:
 
 
 def doc_table(corpus: DataFrame) -> DataFrame:
-    """(doc_id, url, doc_size)."""
-    return corpus.select("doc_id", "url", "doc_size")
+    """(doc_id, url, doc_size, file, offset): the last two say where a document's region is, null for a table's."""
+    place = [F.col(c) if c in corpus.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("file", "string"), ("offset", "bigint"))]
+    return corpus.select("doc_id", "url", "doc_size", *place)
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -78,15 +79,35 @@ def posting_lists(postings: DataFrame, span: int = 1 << 16) -> DataFrame:
     return sliced.groupBy("term", "slice").agg(F.sort_array(F.collect_list(F.struct("doc_id", "freq"))).alias("list"))
 
 
+#: Words whose df an opened index remembers.
+REMEMBERED = 100_000
+
+
 @dataclass
 class SearchIndex:
-    """An index's tables (postings as in `sized_postings_of`), and the two numbers every score needs."""
+    """An index's tables (postings as in `sized_postings_of`), and the two numbers every score needs.
+
+    The tables of an index don't change while it is open, so what the lexicon says of a word is remembered.
+    """
 
     docs: DataFrame
     postings: DataFrame
     lexicon: DataFrame
     n_docs: int
     avg_doc_size: float
+    remembered: dict[str, int | None] = field(default_factory=dict, repr=False, compare=False)
+
+    def frequencies(self, words: list[str]) -> dict[str, int]:
+        """df of those of some words that the lexicon has. Words not asked for before are looked up in one job."""
+        new = sorted(set(words).difference(self.remembered))
+        if new:
+            if len(self.remembered) + len(new) > REMEMBERED:
+                self.remembered.clear()
+                new = sorted(set(words))
+            # the literals reach the lexicon's files
+            found = {r["term"]: r["df"] for r in self.lexicon.where(F.col("term").isin(new)).select("term", "df").collect()}
+            self.remembered.update({w: found.get(w) for w in new})
+        return {w: n for w in words if (n := self.remembered[w]) is not None}
 
     @staticmethod
     def build(corpus: DataFrame, folder: str, keep_tail: bool = True) -> SearchIndex:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumdex.functions.scoring import bm25
 from vellumdex.functions.text import query_words
 from vellumdex.operators.index import SearchIndex
+from vellumdex.sources.corpus import regions_at
 
 ALL, ANY = 0, 1
 DIGITS = 6
 #: Results up to which documents are looked up by literal ids.
 FEW = 1000
+#: Words of a table of queries, each query's counted, up to which they are literals and broadcast.
+FEW_WORDS = 10_000
 
 
 def known_terms(index: SearchIndex, text: str, key_length: int | None = None) -> dict[str, tuple[int, int]]:
@@ -27,8 +32,7 @@ def known_terms(index: SearchIndex, text: str, key_length: int | None = None) ->
     if not typed:
         return {}
     if key_length is None:
-        rows = index.lexicon.where(F.col("term").isin(sorted(typed))).select("term", "df").collect()
-        return {r["term"]: (r["df"], typed[r["term"]]) for r in rows}
+        return {w: (n, typed[w]) for w, n in index.frequencies(list(typed)).items()}
     cut = Counter()
     for word, n in typed.items():
         cut[word[:key_length]] += n
@@ -81,43 +85,66 @@ def rank(index: SearchIndex, text: str, mode: int = ALL, limit: int = 10, key_le
     return _ranked(matches(index, text, mode, key_length).select("doc_id", F.round("bm25", DIGITS).alias("bm25")), limit)
 
 
-def of_documents(table: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Rows of a table that has a doc_id, for some ranked documents, with the columns of `ranked`.
+def fetched(ranked: DataFrame) -> tuple[DataFrame, list[int] | None]:
+    """Some ranked documents as a table of their own, and their ids, if there are up to FEW: the ranking runs here, once.
 
-    Up to FEW ranked rows are fetched first: their ids are literals that reach the table's files, which then are
-    read only where they may have them. More are broadcast if Spark finds them small enough, else shuffled.
+    Otherwise the ranking itself, to be joined by what Spark finds best, and no ids.
     """
-    rows = ranked.limit(FEW + 1).collect()
-    if len(rows) > FEW:
-        return ranked.join(table, "doc_id")
-    few = F.broadcast(ranked.sparkSession.createDataFrame(rows, ranked.schema))
-    return table.where(F.col("doc_id").isin([r["doc_id"] for r in rows])).join(few, "doc_id")
+    rows = ranked.limit(FEW + 1).toArrow()
+    if rows.num_rows > FEW:
+        return ranked, None
+    return F.broadcast(ranked.sparkSession.createDataFrame(rows, ranked.schema)), rows["doc_id"].to_pylist()
+
+
+def of_documents(table: DataFrame, ranked: DataFrame, ids: list[int] | None) -> DataFrame:
+    """Rows of a table that has a doc_id, for what `fetched` gave, with the columns of `ranked`.
+
+    The ids are literals that reach the table's files, which then are read only where they may have them.
+    """
+    return (table if ids is None else table.where(F.col("doc_id").isin(ids))).join(ranked, "doc_id")
 
 
 def search(index: SearchIndex, text: str, mode: int = ALL, limit: int = 10, key_length: int | None = None) -> DataFrame:
     """(rank, doc_id, url, bm25): `rank` with addresses. Runs the ranking when called."""
-    ranked = rank(index, text, mode, limit, key_length)
-    return of_documents(index.docs.select("doc_id", "url"), ranked).select("rank", "doc_id", "url", "bm25")
+    found = fetched(rank(index, text, mode, limit, key_length))
+    return of_documents(index.docs.select("doc_id", "url"), *found).select("rank", "doc_id", "url", "bm25")
+
+
+def _known_words(index: SearchIndex, typed: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """(query_id, term, repeats, df, needed) of the known words, and these words if they are few; needed counts a query's."""
+    few = typed.limit(FEW_WORDS + 1).toArrow()
+    if few.num_rows > FEW_WORDS:
+        known = typed.join(index.lexicon.select("term", "df"), "term")
+        return known.withColumn("needed", F.count(F.lit(1)).over(Window.partitionBy("query_id"))), None
+    frequencies = index.frequencies(few["term"].to_pylist())
+    few = few.filter(pa.array([t in frequencies for t in few["term"].to_pylist()], pa.bool_()))
+    needed = Counter(few["query_id"].to_pylist())
+    few = few.append_column("df", pa.array([frequencies[t] for t in few["term"].to_pylist()], pa.int64()))
+    few = few.append_column("needed", pa.array([needed[q] for q in few["query_id"].to_pylist()], pa.int64()))
+    schema = T.StructType([*typed.schema.fields, T.StructField("df", T.LongType()), T.StructField("needed", T.LongType())])
+    return F.broadcast(typed.sparkSession.createDataFrame(few, schema)), sorted(frequencies)
 
 
 def search_many(index: SearchIndex, queries: DataFrame, mode: int = ALL, limit: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, bm25) for a table of (query_id, text) of any length.
 
-    Queries, lexicon, postings and documents are joined as tables; ranking keeps `limit` rows a query before
-    its shuffle. A null text, or one without known words, matches nothing.
+    The queries' words, if there are up to FEW_WORDS, are looked up when called; they are literals then, so only
+    their row groups are read, and are broadcast to the postings, which stay where they are. More words are joined
+    as a table. Ranking keeps `limit` rows a query before its shuffle. A null text, or one without known words,
+    matches nothing; rows of the same query_id are one query.
     """
     if limit < 1 or mode not in (ALL, ANY):
         raise ValueError("limit must be 1 or more and mode 0 or 1")
     pattern = F.lit("[A-Za-z0-9]+")
     typed = queries.select("query_id", F.explode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("word"))
     typed = typed.groupBy("query_id", F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("repeats"))
-    known = typed.join(index.lexicon.select("term", "df"), "term")
-    needed = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    hits = index.postings.join(known, "term")
+    known, words = _known_words(index, typed)
+    postings = index.postings if words is None else index.postings.where(F.col("term").isin(words))
     score = bm25(F.col("freq").cast("double"), F.col("df").cast("double"), F.col("doc_size").cast("double"), F.lit(float(index.n_docs)), F.lit(index.avg_doc_size))
-    found = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("repeats") * score).alias("bm25"), F.count(F.lit(1)).alias("n"))
+    found = postings.join(known, "term").groupBy("query_id", "doc_id")
+    found = found.agg(F.sum(F.col("repeats") * score).alias("bm25"), F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
     if mode == ALL:
-        found = found.join(needed, "query_id").where("n = needed")
+        found = found.where("n = needed")
     found = found.select("query_id", "doc_id", F.round("bm25", DIGITS).alias("bm25"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "doc_id")).cast("int")
     return found.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "bm25")
@@ -141,10 +168,26 @@ def posting_dump(index: SearchIndex, term: str) -> DataFrame:
     return index.postings.where(F.col("term") == term).join(index.docs, "doc_id").select("doc_id", "freq", "url")
 
 
-def fetch(ranked: DataFrame, corpus: DataFrame, characters: int = 1_000_000) -> DataFrame:
-    """(rank, doc_id, body): stored texts of some ranked documents, their first characters as asked for."""
-    found = of_documents(corpus.select("doc_id", "body"), ranked.select("rank", "doc_id"))
-    return found.select("rank", "doc_id", F.substring("body", 1, characters).alias("body"))
+def fetch(ranked: DataFrame, corpus: DataFrame, characters: int | None = None) -> DataFrame:
+    """(rank, doc_id, body): texts of some ranked documents from a table, whole or so many first characters."""
+    found = of_documents(corpus.select("doc_id", "body"), *fetched(ranked.select("rank", "doc_id")))
+    return found.select("rank", "doc_id", _first_of("body", characters))
+
+
+def fetch_regions(index: SearchIndex, ranked: DataFrame, characters: int | None = None, file: str | None = None) -> DataFrame:
+    """(rank, doc_id, body): texts of some ranked documents from the tagged files, read where the documents table says.
+
+    Only the regions of these documents are read. `file` stands in for the file the index was built from, if that
+    is one and lies elsewhere now.
+    """
+    found = of_documents(index.docs.select("doc_id", "doc_size", "file", "offset"), *fetched(ranked.select("rank", "doc_id")))
+    if file is not None:
+        found = found.withColumn("file", F.lit(file))
+    return regions_at(found).select("rank", "doc_id", _first_of("body", characters))
+
+
+def _first_of(column: str, characters: int | None) -> Column:
+    return F.col(column) if characters is None else F.substring(column, 1, characters).alias(column)
 
 
 def rendered(results: DataFrame) -> Column:

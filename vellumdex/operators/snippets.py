@@ -14,44 +14,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumdex.functions.text import ascii_lower, query_words, terms
-from vellumdex.operators.search import of_documents
+from vellumdex.operators.index import SearchIndex
+from vellumdex.operators.search import fetch_regions, fetched, of_documents
 
-WINDOW, READ = 512, 1_000_000
+WINDOW = 512
 
 
-def _score(window: Column, typed: Counter) -> Column:
+def _score(found: Column, typed: Counter) -> Column:
     if not typed:
         return F.lit(0)
-    found = terms(window, keep_tail=False)
-
-    def times(word: str) -> Column:
-        return F.size(F.filter(found, lambda t: t == word))
-
-    counts = [times(w) * n for w, n in sorted(typed.items())]
-    total = counts[0]
-    for c in counts[1:]:
-        total = total + c
-    return total
+    weights = F.create_map(*(F.lit(x) for w, n in sorted(typed.items()) for x in (w, n)))
+    return F.aggregate(found, F.lit(0), lambda total, t: total + F.coalesce(F.try_element_at(weights, t), F.lit(0)))
 
 
 def windows(corpus: DataFrame, text: str) -> DataFrame:
-    """(doc_id, start, score): every window of every body."""
-    bodies = corpus.where("body IS NOT NULL").select("doc_id", F.substring("body", 1, READ).alias("body"))
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("body") - WINDOW - 1), F.lit(WINDOW)), lambda s: s + WINDOW < F.length("body"))
-    cut = bodies.select("doc_id", "body", F.explode(starts).alias("start"))
-    window = F.substr("body", F.col("start") + 1, F.lit(WINDOW))
-    return cut.select("doc_id", "start", window.alias("window")).select("doc_id", "start", _score(F.col("window"), Counter(query_words(text))).alias("score"), "window")
+    """(doc_id, start, score, window): every window of every body.
+
+    A body is cut in one pass, whatever its length, and only its windows go on.
+    """
+    every = F.regexp_extract_all("body", F.lit(f"(?s).{{{WINDOW}}}(?=.)"), F.lit(0))
+    cut = corpus.where("body IS NOT NULL").select("doc_id", F.posexplode(every).alias("nth", "window"))
+    words = cut.select("doc_id", (F.col("nth") * WINDOW).alias("start"), "window", terms(F.col("window"), keep_tail=False).alias("found"))
+    return words.select("doc_id", "start", _score(F.col("found"), Counter(query_words(text))).alias("score"), "window")
 
 
 def snippets(ranked: DataFrame, corpus: DataFrame, text: str, last_positive: bool = False) -> DataFrame:
     """(rank, doc_id, start, snippet): the window of the highest score, the earliest of equals; null if none has a word.
 
     With `last_positive`, the last window that has any of the words. The text is in lower case (ASCII letters
-    only) and one character shorter than the window. Runs the ranking when called, if it wasn't yet.
+    only) and one character shorter than the window. Runs the ranking when called; `corpus` is a table.
+    """
+    few, ids = fetched(ranked.select("rank", "doc_id"))
+    return _best(few, of_documents(corpus.select("doc_id", "body"), few, ids), text, last_positive)
+
+
+def region_snippets(index: SearchIndex, ranked: DataFrame, text: str, last_positive: bool = False, file: str | None = None, characters: int | None = None) -> DataFrame:
+    """`snippets` from the tagged files the index was built from: only the ranked documents' regions are read.
+
+    `characters` looks at so many first characters of a document only, `file` is as in `fetch_regions`.
     """
-    bodies = of_documents(corpus.select("doc_id", "body"), ranked.select("rank", "doc_id"))
+    few, _ = fetched(ranked.select("rank", "doc_id"))
+    return _best(few, fetch_regions(index, few, characters, file), text, last_positive)
+
+
+def _best(few: DataFrame, bodies: DataFrame, text: str, last_positive: bool) -> DataFrame:
     scored = windows(bodies, text).where("score > 0")
     key = F.struct("start") if last_positive else F.struct("score", (-F.col("start")).alias("early"))
     best = scored.groupBy("doc_id").agg(F.max_by(F.struct("start", "window"), key).alias("best"))
     shown = ascii_lower(F.substring(F.col("best.window"), 1, WINDOW - 1))
-    return ranked.select("rank", "doc_id").join(best, "doc_id", "left").select("rank", "doc_id", F.col("best.start").alias("start"), shown.alias("snippet"))
+    return few.join(best, "doc_id", "left").select("rank", "doc_id", F.col("best.start").alias("start"), shown.alias("snippet"))

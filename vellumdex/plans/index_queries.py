@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumdex.functions.codec import vb_hex
+from vellumdex.functions.codec import vb_hex, vb_numbers
 from vellumdex.functions.text import words
 from vellumdex.operators import blocks, index, search, snippets
-from vellumdex.session import shared_folder
+from vellumdex.session import new_path, removed_at_exit
 from vellumdex.sources.corpus import byte_prefix, from_pages, from_table
 from vellumdex.sources.tables import table
 
@@ -15,6 +15,9 @@ QUERY = "the river path of the zzzunknown"
 LIST_TERMS = ["the", "of", "und", "pour", "river"]
 MANY = [(1, "The green door"), (2, "das alte Verzeichnis"), (3, "river RIVER zzzunknown"), (4, "zzzunknown"), (5, None)]
 SEEK = 500
+SPAN = 256
+#: Its first word has 16 letters, its second 14, as many as a lookup by 14 letters reads.
+CUT_QUERY = "pappersarkivetes pappersarkivet river"
 
 _BUILT: dict[tuple[str, str, str], index.SearchIndex] = {}
 
@@ -23,13 +26,14 @@ def corpus(spark, sf):
     return from_table(table(spark, sf, "documents"))
 
 
-def built(spark, sf, kind="table"):
+def built(spark, sf, kind="table", source=None):
     """The index of a folder's documents, built once a session, as queries follow a build."""
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _BUILT:
-        source = corpus(spark, sf) if kind == "table" else from_pages(table(spark, sf, "documents"))
-        folder = f"{shared_folder(spark).rstrip('/')}/index-{kind}-{abs(hash(key)):x}"
-        _BUILT[key] = index.SearchIndex.build(source, folder)
+        source = source or {"table": corpus, "pages": lambda spark, sf: from_pages(table(spark, sf, "documents"))}[kind]
+        folder = new_path(spark, f"index-{kind}")
+        _BUILT[key] = index.SearchIndex.build(source(spark, sf), folder)
+        removed_at_exit(spark, folder)
     return _BUILT[key]
 
 
@@ -150,6 +154,41 @@ def varbyte_hex(spark, sf):
     return built(spark, sf).postings.select("freq").distinct().select("freq", vb_hex(F.col("freq")).alias("bytes"))
 
 
+def varbyte_decoded(spark, sf):
+    """Gaps of each block encoded, laid one after another and decoded again."""
+    laid = blocks.posting_gaps(built(spark, sf).postings).groupBy("term", F.floor(F.col("place") / blocks.BLOCK).alias("block_no"))
+    laid = laid.agg(F.sort_array(F.collect_list(F.struct("place", vb_hex(F.col("gap")).alias("bytes")))).alias("gaps"))  # a block's 128 at most
+    digits = F.array_join(F.transform("gaps", lambda g: g["bytes"]), "")
+    return laid.select("term", "block_no", F.posexplode(vb_numbers(digits)).alias("nth", "gap"))
+
+
+def nested_lists(spark, sf):
+    """Lists nested in slices, each as text."""
+    lists = index.posting_lists(built(spark, sf).postings, SPAN)
+    return lists.select("term", "slice", F.array_join(F.transform("list", lambda x: F.concat_ws(":", x["doc_id"], x["freq"])), " ").alias("list"))
+
+
+def observed_without_last_term(spark, sf):
+    return index.without_last_term(built(spark, sf).postings).select("term", "doc_id", "freq")
+
+
+def observed_key14_top10(spark, sf):
+    return search.rank(built(spark, sf), CUT_QUERY, search.ANY, 10, key_length=14)
+
+
+def limits_and_modes(spark, sf):
+    """Which limits and modes a query accepts."""
+
+    def accepted(limit: int, mode: int) -> bool:
+        try:
+            search.rank(built(spark, sf), "river", mode, limit)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(n, m, accepted(n, m)) for n in (-1, 0, 1, 10) for m in (-1, 0, 1, 2)], "result_limit int, mode int, accepted boolean")
+
+
 def snippet_windows(spark, sf):
     return snippets.windows(corpus(spark, sf), QUERY).select("doc_id", "start", "score")
 
@@ -198,7 +237,8 @@ QUERIES = {
         bm25_single_term, bm25_all_scores, bm25_or_top10, bm25_and_top10, and_match_count, or_match_count, unknown_terms_ignored, bm25_repeated_term,
         bm25_negative_idf, batch_queries_topk, batch_queries_all_words, list_lengths_order, next_geq, posting_gaps, posting_blocks, list_bytes_offsets,
         index_size_summary, varbyte_hex, snippet_windows, best_snippet, prefix_sample, run_merge, posting_dump, doc_fetch, pages_or_top10,
-        observed_tail_tokens, observed_key14_lexicon, observed_last_snippet,
+        observed_tail_tokens, observed_key14_lexicon, observed_last_snippet, varbyte_decoded, nested_lists, observed_without_last_term,
+        observed_key14_top10, limits_and_modes,
     )
 }
 
@@ -329,4 +369,18 @@ SQL = {
     "observed_tail_tokens": f"""{BASE.replace("regexp_extract_all(text,", "regexp_extract_all(regexp_replace(text, '[A-Za-z0-9]+$', ''),")}
       SELECT doc_id, count(*) AS n_tokens FROM tokens GROUP BY doc_id""",
     "observed_key14_lexicon": f"{BASE} SELECT substring(term, 1, 14) AS prefix, max(term) AS term FROM lex GROUP BY prefix",
+    "varbyte_decoded": f"{GAPS} SELECT term, place // 128 AS block_no, CAST(place % 128 AS INT) AS nth, gap FROM gaps",
+    "nested_lists": f"""{BASE} SELECT term, doc_id // {SPAN} AS slice, string_agg(doc_id || ':' || freq, ' ' ORDER BY doc_id) AS list
+      FROM postings GROUP BY ALL""",
+    "observed_without_last_term": f"{BASE} SELECT term, doc_id, freq FROM postings WHERE term <> (SELECT max(term) FROM lex)",
+    "observed_key14_top10": _first(CUT_QUERY).replace(
+        _q(CUT_QUERY),
+        _q(CUT_QUERY).replace("typed AS", "whole AS")
+        + """, cut AS (SELECT substring(term, 1, 14) AS prefix, CAST(sum(repeats) AS INT) AS repeats FROM whole GROUP BY prefix),
+      last AS (SELECT substring(term, 1, 14) AS prefix, max(term) AS term FROM lex GROUP BY prefix),
+      typed AS (SELECT term, repeats FROM cut JOIN last USING (prefix))""",
+    )
+    + " SELECT * FROM ranked",
+    "limits_and_modes": """SELECT l AS result_limit, m AS mode, l >= 1 AND m IN (0, 1) AS accepted
+      FROM (VALUES (-1), (0), (1), (10)) AS limits(l), (VALUES (-1), (0), (1), (2)) AS modes(m)""",
 }

@@ -1,12 +1,16 @@
-"""Corpora as (doc_id, url, body, doc_size[, offset])."""
+"""Corpora as (doc_id, url, body, doc_size[, file, offset])."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumdex.functions.text import stored_url
 from vellumdex.operators.prefix import running_total
@@ -36,23 +40,26 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 #: Splits of the input up to which their table (a file name and three numbers each) is broadcast.
 MOST_SPLITS = 1_000_000
-PLACED = "file string, file_size bigint, split bigint, region string, bytes bigint, lead bigint, candidate boolean, ahead bigint, nth bigint"
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Bytes and candidate regions before each record in its split; a task reads splits one after another, in order."""
-    current, ahead, nth = None, 0, 0
-    for batch in batches:
-        files, splits = batch.column("file").to_pylist(), batch.column("split").to_pylist()
-        out = [[], []]
-        for key, n, candidate in zip(zip(files, splits, strict=True), batch.column("bytes").to_pylist(), batch.column("candidate").to_pylist(), strict=True):
-            if key != current:
-                current, ahead, nth = key, 0, 0
-            out[0].append(ahead)
-            out[1].append(nth)
-            ahead += n
-            nth += candidate
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in out)], names=[*batch.schema.names, "ahead", "nth"])
+    current, carried = None, np.zeros(2, np.int64)
+    for split, n_bytes, candidate in batches:
+        key = split.to_numpy(zero_copy_only=False)
+        if not len(key):
+            yield pa.StructArray.from_arrays([pa.array([], pa.int64())] * 2, names=["ahead", "nth"])
+            continue
+        values = np.stack([n_bytes.to_numpy(zero_copy_only=False), candidate.to_numpy(zero_copy_only=False)]).astype(np.int64)
+        before = np.cumsum(values, axis=1) - values
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        owner = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(key)]))
+        start = -before[:, begins]
+        if key[0] == current:
+            start[:, 0] += carried
+        before += start[:, owner]
+        current, carried = key[-1], before[:, -1] + values[:, -1]
+        yield pa.StructArray.from_arrays([pa.array(before[0]), pa.array(before[1])], names=["ahead", "nth"])
 
 
 def read_trec(spark: SparkSession, path: str, tenths: int = 10) -> DataFrame:
@@ -64,7 +71,8 @@ def read_trec(spark: SparkSession, path: str, tenths: int = 10) -> DataFrame:
     `tenths` below 10, only regions that begin in so many tenths of their file are read: a prefix, no sample.
 
     Files are cut at the closing tags and read in splits by all tasks. Each task counts bytes and regions
-    within its splits; sums over whole splits give places in the files and ids. The text isn't shuffled.
+    within its splits, from three numbers a record; sums over whole splits give places in the files and ids. The
+    text isn't shuffled; regions are written once, address and body apart, as several jobs read them.
     """
     if not 1 <= tenths <= 10:
         raise ValueError("tenths must lie between 1 and 10")
@@ -73,17 +81,23 @@ def read_trec(spark: SparkSession, path: str, tenths: int = 10) -> DataFrame:
         "value", F.col(f"{m}.file_path").alias("file"), F.col(f"{m}.file_size").alias("file_size"), F.col(f"{m}.file_block_start").alias("split")
     )
     region = F.expr(f"CASE WHEN locate('<TEXT>\\n', value) > 0 THEN substr(value, locate('<TEXT>\\n', value) + {len(OPEN)}) END")
-    rows = rows.withColumn("region", region)
+    rows = rows.select("file", "file_size", "split", F.octet_length("value").cast("bigint").alias("length"), region.alias("region"))
+    rest = F.expr(r"CASE WHEN instr(region, '\n') > 0 THEN substr(region, instr(region, '\n') + 1, greatest(0, length(region) - instr(region, '\n') - 1)) ELSE '' END")
+    in_region = F.coalesce(F.octet_length("region"), F.lit(0)).cast("bigint")
     rows = rows.select(
         "file",
         "file_size",
         "split",
-        "region",
-        (F.octet_length("value") + len(CLOSE)).cast("bigint").alias("bytes"),
-        (F.octet_length("value") - F.octet_length(F.coalesce("region", F.lit("")))).cast("bigint").alias("lead"),
+        (F.col("length") + len(CLOSE)).alias("bytes"),
+        (F.col("length") - in_region).alias("lead"),
         F.coalesce(F.col("region").startswith("h"), F.lit(False)).alias("candidate"),
+        (in_region - 1).alias("doc_size"),
+        stored_url(F.substring_index("region", "\n", 1)).alias("url"),
+        rest.alias("body"),
     )
-    placed = written(rows.mapInArrow(_place, PLACED), "regions")
+    pair = T.StructType([T.StructField("ahead", T.LongType()), T.StructField("nth", T.LongType())])
+    place = F.arrow_udf(_place, pair)(F.xxhash64("file", "split"), "bytes", "candidate")
+    placed = written(rows.withColumn("place", place).select(*rows.columns, "place.ahead", "place.nth"), "regions")
 
     def joined(df: DataFrame, splits: DataFrame) -> DataFrame:
         return df.join(F.broadcast(splits) if n_splits <= MOST_SPLITS else splits, ["file", "split"])
@@ -99,15 +113,50 @@ def read_trec(spark: SparkSession, path: str, tenths: int = 10) -> DataFrame:
     # what is left of a split are its first candidates, so their numbers go on from split to split; one row a split here
     earlier = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
     counts = kept.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
-    first = counts.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    rest = F.expr(r"CASE WHEN instr(region, '\n') > 0 THEN substr(region, instr(region, '\n') + 1, greatest(0, length(region) - instr(region, '\n') - 1)) ELSE '' END")
-    return joined(kept, first).select(
-        (F.col("first") + F.col("nth")).alias("doc_id"),
-        stored_url(F.substring_index("region", "\n", 1)).alias("url"),
-        rest.alias("body"),
-        (F.octet_length("region") - 1).cast("bigint").alias("doc_size"),
-        F.col("offset").cast("bigint").alias("offset"),
-    )
+    first = written(counts.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")), "firsts")
+    return joined(kept, first).select((F.col("first") + F.col("nth")).alias("doc_id"), "url", "body", "doc_size", "file", F.col("offset").cast("bigint").alias("offset"))
+
+
+def write_trec(pages: DataFrame, path: str) -> None:
+    """Write doc_id, url and text as tagged text files, in order of doc_id, one range of ids a file. A null is empty."""
+    start = F.format_string("<DOC>\n<DOCNO>D%s</DOCNO>\n" + OPEN.replace("%", "%%"), F.col("doc_id"))
+    line = F.concat(start, F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(f"\n{CLOSE}\n</DOC>"))
+    pages.select("doc_id", "url", "text").orderBy("doc_id").select(line.alias("value")).write.text(path)
+
+
+def _opened(uri: str):
+    """A file by its address; one without a scheme is local, s3a and s3n are s3."""
+    parts = urlsplit(uri)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem().open_input_file(unquote(parts.path) if parts.scheme else uri)
+    system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
+    return system.open_input_file(path)
+
+
+def _read_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        places = sorted(zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "doc_size")), range(batch.num_rows), strict=True))
+        bodies, file, source = [b""] * batch.num_rows, None, None
+        for name, offset, size, k in places:
+            if name != file:
+                file, source = name, _opened(name)
+            source.seek(offset)
+            bodies[k] = source.read(size).partition(b"\n")[2]
+        kept = [c for c in batch.schema.names if c not in ("file", "offset", "doc_size")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(bodies, pa.binary())], names=[*kept, "body"])
+
+
+def regions_at(places: DataFrame) -> DataFrame:
+    """Texts of regions by where they are: file, offset and doc_size are replaced by body; further columns stay.
+
+    Each region is one seek and one read of its own bytes in the task that has its row, so ten documents of a
+    corpus of any size cost ten reads. Files are opened by pyarrow (local, hdfs, s3, gs). Rows without file or
+    offset, as of a corpus that is a table, are left out.
+    """
+    others = [f for f in places.schema.fields if f.name not in ("file", "offset", "doc_size")]
+    known = places.where("file IS NOT NULL AND offset IS NOT NULL AND doc_size IS NOT NULL")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "body binary"])
+    return known.mapInArrow(_read_regions, schema).select(*(f.name for f in others), F.col("body").cast("string").alias("body"))
 
 
 def byte_prefix(documents: DataFrame, tenths: int) -> DataFrame:
