@@ -154,3 +154,41 @@ def test_bitmaps_cross_the_array_border():
 def test_a_posting_given_twice_is_one_document():
     batch = term_counts.build(np.array([1, 1, 1]), np.array([5, 5, 6]), np.array([2, 3, 4])).to_pylist()
     assert [(b["occurrences"], term_counts.cardinality(b["bits"])) for b in batch] == [(9, 2)]
+
+
+def shuffled(spark, df) -> int:
+    """Bytes that a job writes for its shuffles."""
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = written()
+    df.collect()
+    return written() - before
+
+
+@pytest.mark.parametrize("spread", [1, 7, 0x9E3779B97F4A7C15])
+def test_documents_are_counted_cheaply_however_sparse_their_ids(spark, spread):
+    n = 20_000
+    ids = [((k * spread) + (1 << 63)) % (1 << 64) - (1 << 63) for k in range(n)]
+    chunk = spark.createDataFrame([(0, 1, d, 1, None) for d in ids], CHUNK).repartition(3)
+    found = term_counts.count_documents(chunk)
+    assert found.first()["n_docs"] == n
+    assert shuffled(spark, found) - shuffled(spark, chunk.select("doc_id", "freq")) < 20 * n
+
+
+@pytest.mark.parametrize("share", [0.02, 0.9])
+def test_weights_with_and_without_heavy_keys(rows, tables, monkeypatch, share):
+    want = weights(rows, doc_rows())
+    of = distinct_terms.heavy_keys_of
+    monkeypatch.setattr(distinct_terms, "heavy_keys_of", lambda df, columns: of(df, columns, share))
+    got = {(r["doc_id"], r["term_id"]): tuple(r)[2:] for r in distinct_terms.term_weights(*tables).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(w, abs=1e-9) for k, w in want.items())
+
+
+def test_weights_of_nothing(tables):
+    chunk, docs = tables
+    assert distinct_terms.term_weights(chunk.limit(0), docs).collect() == [] == distinct_terms.marking_terms(chunk.limit(0), docs.limit(0)).collect()
+    assert {r["strength"] for r in distinct_terms.term_weights(chunk, docs.limit(0)).collect()} == {None}

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumdex.operators.feed import document_sizes, usable_posting
-from vellumdex.operators.skew import heavy_keys, key_table, postings_by_document, spread_join
+from vellumdex.operators.feed import usable_posting
+from vellumdex.operators.skew import heavy_keys_of, join_on_skewed, sized_postings
+from vellumdex.session import written
 
 
 def evenness(df: Column, total: Column, spread: Column, n_docs: Column) -> Column:
@@ -32,29 +33,24 @@ def term_weights(term_chunk: DataFrame, doc_entry: DataFrame, unit_bytes: int =
     log2(1 + freq * unit_bytes / size) * distinctness, null where the size is unknown. A term spread evenly over
     all documents has distinctness 0, a term of one document 1. Empty input gives no rows.
 
-    Two aggregations: documents of the collection, and df, occurrences and sum(freq ln freq) by term, both with
-    partial sums before the shuffle. Statistics of a term return to its postings by a join in which the rows of
-    heavy terms are salted.
+    The clean postings with their sizes are made by one shuffle on doc_id and written. Two aggregations read
+    them: documents of the collection, and df, occurrences and sum(freq ln freq) by term, both with partial sums
+    before the shuffle. A term's statistics are one row; those of heavy terms are broadcast to their postings,
+    which stay where they are, the others return by an ordinary join.
     """
     return _weights(term_chunk, doc_entry, unit_bytes).select(*WEIGHTS)
 
 
 def _weights(term_chunk: DataFrame, doc_entry: DataFrame, unit_bytes: int) -> DataFrame:
-    """`term_weights` with the number of documents, n_docs."""
-    rows = term_chunk.select("term_id", "doc_id", "freq").where(usable_posting())
-    n_docs = rows.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs"))
-    tail, heavy, keys = postings_by_document(term_chunk)
-    sizes = document_sizes(doc_entry)
-    plain, sized = tail, tail.join(sizes, "doc_id", "left")
-    if heavy is not None:
-        few = sizes.join(key_table(sizes, "doc_id", keys), "doc_id", "left_semi")
-        plain, sized = plain.unionByName(heavy), sized.unionByName(heavy.join(F.broadcast(few), "doc_id", "left"))
+    heavy, _ = heavy_keys_of(term_chunk.where(usable_posting()), ["doc_id", "term_id"])
+    sized = sized_postings(term_chunk, doc_entry, heavy_docs=heavy["doc_id"]).select("doc_id", "term_id", "freq", "size")
+    sized = written(sized, "sized")
+    n_docs = sized.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     freq = F.col("freq").cast("bigint")
-    terms = plain.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"), F.sum(freq).alias("occurrences"), F.sum(freq * F.log(freq)).alias("spread"))
-    hot, _ = heavy_keys(rows, "term_id")
+    terms = sized.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"), F.sum(freq).alias("occurrences"), F.sum(freq * F.log(freq)).alias("spread"))
     distinctness = 1 - evenness(F.col("df"), F.col("occurrences"), F.col("spread"), F.col("n_docs"))
     return (
-        spread_join(sized, terms, "term_id", "doc_id", hot)
+        join_on_skewed(sized, terms, "term_id", heavy["term_id"])
         .crossJoin(F.broadcast(n_docs))
         .withColumn("distinctness", distinctness)
         .select(
@@ -75,14 +71,13 @@ def _weights(term_chunk: DataFrame, doc_entry: DataFrame, unit_bytes: int) -> Da
 def marking_terms(term_chunk: DataFrame, doc_entry: DataFrame, docs: tuple[int, int] = (2, 25), least_freq: int = 4, per_thousand: int = 20) -> DataFrame:
     """(doc_id, term_id): postings that mark their document: few documents with the term, high frequency and density.
 
-    Kept: df within `docs`, freq >= `least_freq`, size known and freq * 1000 >= per_thousand * size. The weights
-    propose: a term of at most docs[1] documents has an entropy of at most ln docs[1], hence at least so much
-    distinctness, and a posting of that density at least so much strength. The whole numbers decide.
+    Kept: df within `docs`, freq >= `least_freq`, size known and freq * 1000 >= per_thousand * size. Candidates are
+    the postings of at least the strength that these conditions imply: a term of at most docs[1] documents has an
+    entropy of at most ln docs[1]. The whole numbers then decide; being implied, the bound loses none of theirs.
     """
     found = _weights(term_chunk, doc_entry, 1000)
-    near = 1 - 1e-9
-    distinct = F.col("distinctness") >= F.when(F.col("n_docs") > docs[1], 1 - F.lit(math.log(docs[1])) / F.log("n_docs")).otherwise(F.lit(0.0)) - 1e-9
-    strong = F.col("strength") >= F.lit(math.log2(1 + per_thousand) * near) * F.col("distinctness") - 1e-9
+    least_distinctness = F.when(F.col("n_docs") > docs[1], 1 - F.lit(math.log(docs[1])) / F.log("n_docs")).otherwise(F.lit(0.0))
+    strong = F.col("strength") >= F.lit(math.log2(1 + per_thousand)) * least_distinctness - 1e-6
     dense = F.col("freq").cast("bigint") * 1000 >= F.col("size") * per_thousand
     exact = F.col("df").between(*docs) & (F.col("freq") >= least_freq) & dense
-    return found.where(distinct & strong & exact).select("doc_id", "term_id")
+    return found.where(strong & exact).select("doc_id", "term_id")

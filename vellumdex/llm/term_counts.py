@@ -146,10 +146,14 @@ def term_bitmaps(postings: DataFrame) -> DataFrame:
 
 
 def count_documents(term_chunk: DataFrame) -> DataFrame:
-    """One row, n_docs: documents that have a clean posting, by the union of their bitmaps."""
-    doc = term_chunk.where(usable_posting()).select("doc_id")
-    bitmaps = doc.groupBy(F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits"))
-    return bitmaps.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n_docs"))
+    """One row, n_docs: documents that have a clean posting, by the union of their containers.
+
+    Only ranges and containers are shuffled: close ids cost two bytes or less each, lone ones a small row.
+    """
+    doc = term_chunk.where(usable_posting()).select(F.lit(0).cast("bigint").alias("term_id"), "doc_id", F.lit(0).alias("freq"))
+    built = doc.mapInArrow(build_containers, CONTAINERS).select("range_no", "bits").repartition("range_no").sortWithinPartitions("range_no")
+    united = built.select(F.lit(0).cast("bigint").alias("term_id"), "range_no", "bits", F.lit(0).cast("bigint").alias("occurrences")).mapInArrow(unite_containers, UNITED)
+    return united.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n_docs"))
 
 
 def term_frequencies(term_chunk: DataFrame, common_percent: int = 20, rare_docs: int = 3, rare_occurrences: int = 4) -> DataFrame:
