@@ -1,7 +1,10 @@
-"""Bounded samples of labelled texts, for fitting classifiers on the driver."""
+"""Bounded samples of labelled texts, and classifiers fitted on them on the driver."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,3 +21,23 @@ def labelled_sample(rows: DataFrame, each: int, longest: int) -> list[tuple[obje
     chosen = usable.select("label", "key").withColumn("rank", rank).where(F.col("rank") <= each).select("label", "key").distinct()
     texts = usable.join(F.broadcast(chosen), ["label", "key"]).groupBy("label", "key").agg(F.min("text").alias("text"))
     return [(r["label"], r["text"]) for r in sorted(texts.collect(), key=lambda r: (str(r["label"]), r["key"]))]
+
+
+#: Fitted classifiers the driver keeps, the last ones used.
+KEPT = 8
+_FITTED: dict[str, object] = {}
+
+
+def fitted_once(kind: str, sample: list[tuple], fit: Callable[[], object]):
+    """What `fit` gives for a sample of tuples, fitted once: the same sample has the same classifier."""
+    digest = hashlib.sha256(kind.encode())
+    for row in sample:
+        for value in row:
+            part = str(value).encode("utf-8", "surrogatepass")
+            digest.update(b"%d:" % len(part) + part)
+        digest.update(b";")
+    key = digest.hexdigest()
+    _FITTED[key] = _FITTED.pop(key) if key in _FITTED else fit()
+    while len(_FITTED) > KEPT:
+        del _FITTED[next(iter(_FITTED))]
+    return _FITTED[key]

@@ -2,13 +2,13 @@
 
 A word is the average of its hashed subwords' vectors, a text the average of its words, a linear softmax tells
 the language; both are trained together by stochastic gradient descent in numpy. Confidence is calibrated on
-held-out texts, and texts as unsure as words of shuffled letters are rejected: they have no language.
+held-out texts, and texts as unsure as words of shuffled letters are rejected: they have no language. The shorter a
+text, the surer the model must be.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumdex.llm.encode import in_parts, texts_of
-from vellumdex.llm.labelled import labelled_sample
+from vellumdex.llm.labelled import fitted_once, labelled_sample
 from vellumdex.llm.language_text import paragraphs_of, words_of
 
 BUCKET_BITS = 16
@@ -28,8 +28,8 @@ SUBWORDS = (2, 3, 4)
 #: Bounds of training: labelled documents of each language, characters of one, and reference texts.
 TRAINING_DOCUMENTS, TRAINING_CHARS, REFERENCE_TEXTS = 150, 20_000, 5000
 CACHED_WORDS = 300_000
-#: Texts shorter than this number of words have a language only if training saw one of the words SEEN times (texts are given twice).
-NAME_WORDS, SEEN = 4, 6
+#: Numbers of words for which the least confidence is calibrated: each holds up to the next.
+SIZES = (1, 2, 3, 6)
 #: Paragraphs from so many words on can teach words that the first model doesn't know.
 CLEAR_WORDS = 12
 #: A confidence above this is never rejected.
@@ -111,20 +111,20 @@ def softmax(x: np.ndarray) -> np.ndarray:
 class Classifier:
     """`scores` has what each bucket says for each class: its vector times the softmax's weights."""
 
-    def __init__(self, classes: list[str], scores: np.ndarray, bias: np.ndarray, sharpness: float = 1.0, least: float = 0.0, seen: frozenset[str] = frozenset()):
-        self.classes, self.scores, self.bias, self.sharpness, self.least, self.seen = classes, scores, bias, sharpness, least, seen
+    def __init__(self, classes: list[str], scores: np.ndarray, bias: np.ndarray, sharpness: float = 1.0, least: tuple[float, ...] = (0.0,) * len(SIZES)):
+        self.classes, self.scores, self.bias, self.sharpness, self.least = classes, scores, bias, sharpness, least
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(classes)), np.float32)
-        self.lengths, self.trained = np.zeros(1024, np.int32), np.zeros(1024, bool)
+        self.lengths = np.zeros(1024, np.int32)
 
     def __getstate__(self) -> dict:
-        return {"classes": self.classes, "scores": self.scores, "bias": self.bias, "sharpness": self.sharpness, "least": self.least, "seen": self.seen}
+        return {"classes": self.classes, "scores": self.scores, "bias": self.bias, "sharpness": self.sharpness, "least": self.least}
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Place of each word in `table` (what it says for each class), `lengths` and `trained` (seen in training)."""
+        """Place of each word in `table` (what it says for each class) and `lengths`."""
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
@@ -134,14 +134,13 @@ class Classifier:
             if most > len(self.table):
                 size = max(most, 2 * len(self.table))
                 self.table = np.vstack([self.table, np.zeros((size - len(self.table), self.table.shape[1]), np.float32)])
-                self.lengths, self.trained = np.resize(self.lengths, size), np.resize(self.trained, size)
+                self.lengths = np.resize(self.lengths, size)
             for k in range(0, len(new), 4096):
                 part = new[k : k + 4096]
                 buckets, counts = buckets_of(part)
                 at = first + k + np.arange(len(part))
                 self.table[at] = np.add.reduceat(self.scores[buckets], np.cumsum(counts) - counts, axis=0) / counts[:, None]
                 self.lengths[at] = [len(w) for w in part]
-                self.trained[at] = [w in self.seen for w in part]
             known.update(zip(new, range(first, most), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
@@ -149,23 +148,24 @@ class Classifier:
         """Per text and class, before softmax; texts mustn't be empty of words."""
         return self.log_odds_and_letters(texts)[0]
 
-    def log_odds_and_letters(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """`log_odds`, letters that count, and how many words training saw, of each text.
+    def log_odds_and_letters(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """`log_odds`, and letters that count, of each text.
 
-        Letters count of words that training saw, and of others unless the model by the word alone gives the text's
-        language less than an even chance among all classes, as it mostly does for names.
+        Letters don't count of words for which the model, by the word alone, gives the text's language less than an
+        even chance among all classes, as it mostly does for names.
         """
         rows = self.rows([w for t in texts for w in t])
         counts = np.array([len(t) for t in texts])
         starts = np.cumsum(counts) - counts
         odds = (np.add.reduceat(self.table[rows], starts, axis=0) / counts[:, None] + self.bias) * self.sharpness
-        trained, lengths = self.trained[rows], self.lengths[rows]
-        seen = np.add.reduceat(trained.astype(np.int64), starts)
-        counted, new = trained.copy(), np.flatnonzero(~trained)
-        own = np.repeat(odds.argmax(axis=1), counts)[new]
-        counted[new] = softmax((self.table[rows[new]] + self.bias) * self.sharpness)[np.arange(len(new)), own] >= 1 / len(self.classes)
-        letters = np.add.reduceat(lengths * counted, starts)
-        return odds, letters.astype(float), seen
+        words, at = np.unique(rows, return_inverse=True)
+        alone = softmax((self.table[words] + self.bias) * self.sharpness) >= 1 / len(self.classes)
+        counted = alone[at, np.repeat(odds.argmax(axis=1), counts)]
+        return odds, np.add.reduceat(self.lengths[rows] * counted, starts).astype(float)
+
+    def least_of(self, counts: np.ndarray) -> np.ndarray:
+        """Confidence below which texts of so many words are rejected."""
+        return np.array(self.least)[np.searchsorted(SIZES, counts, side="right") - 1]
 
     def predict(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Class number, -1 where rejected, and confidence of each text."""
@@ -174,7 +174,8 @@ class Classifier:
         if full:
             p = softmax(self.log_odds([texts[k] for k in full]))
             best[full], sure[full] = p.argmax(axis=1), p.max(axis=1)
-            best[sure < self.least] = -1
+            least = self.least_of(np.array([len(texts[k]) for k in full]))
+            best[np.array(full)[sure[full] < least]] = -1
         return best, sure
 
 
@@ -218,19 +219,24 @@ def train(texts: list[list[str]], labels: np.ndarray, classes: list[str], epochs
 def calibrate(model: Classifier, texts: list[list[str]], labels: np.ndarray, rng: np.random.Generator, passed: float = 0.02, lost: float = 0.002) -> None:
     """Set sharpness to fit the held-out texts best, and the least confidence to reject words of shuffled letters.
 
-    Of these the part `passed` may be accepted, but no more than the part `lost` of the held-out texts may be
-    rejected. Pieces of six words are used, as paragraphs can be short.
+    Of these the part `passed` may be accepted, but no more than the part `lost` of the held-out texts, or of single
+    words LOST_WORDS, may be rejected. Pieces of each of SIZES are used, as paragraphs can be short.
     """
-    short = [t[k : k + 6] for t in texts for k in range(0, len(t), 6)]
-    of = np.concatenate([np.full(-(-len(t) // 6), c) for t, c in zip(texts, labels, strict=True)])
-    raw = model.log_odds(short)
-    fit = [(-np.log(softmax(raw * s)[np.arange(len(of)), of] + 1e-12).mean(), s) for s in np.geomspace(0.1, 20, 60)]
-    model.sharpness = float(min(fit)[1])
-    p = softmax(raw * model.sharpness)
-    sure = p.max(axis=1)[p.argmax(axis=1) == of]
-    noise = [["".join(rng.permutation(list(w))) for w in t] for t in short]
-    shuffled = softmax(model.log_odds(noise)).max(axis=1)
-    model.least = float(min(MOST_REJECTED, np.quantile(shuffled, 1 - passed), np.quantile(sure, lost)))
+    least = []
+    for size in reversed(SIZES):
+        short = [t[k : k + size] for t in texts for k in range(0, len(t), size)]
+        of = np.concatenate([np.full(-(-len(t) // size), c) for t, c in zip(texts, labels, strict=True)])
+        raw = model.log_odds(short)
+        if size == max(SIZES):
+            fit = [(-np.log(softmax(raw * s)[np.arange(len(of)), of] + 1e-12).mean(), s) for s in np.geomspace(0.1, 20, 60)]
+            model.sharpness = float(min(fit)[1])
+            raw = raw * model.sharpness
+        p = softmax(raw)
+        sure = p.max(axis=1)[p.argmax(axis=1) == of]
+        noise = [["".join(rng.permutation(list(w))) for w in t] for t in short]
+        shuffled = softmax(model.log_odds(noise)).max(axis=1)
+        least.append(float(min(MOST_REJECTED, np.quantile(shuffled, 1 - passed), np.quantile(sure, lost))))
+    model.least = tuple(reversed(least))
 
 
 def pieces(words: list[str], size: int = 6) -> list[list[str]]:
@@ -270,18 +276,14 @@ def fit(reference: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> Cl
         for words, each in zip(parts, p, strict=True):
             if each.argmax() == own or (each[own] >= 0.2 and len(words) >= CLEAR_WORDS):
                 add(words, lang)
-    model = train(texts, np.array(labels), classes, epochs=4, seed=8) if kept else first
-    counts = Counter(w for t in texts for w in t)
-    model.seen = frozenset(w for w, c in counts.items() if c >= SEEN)
-    return model
+    return train(texts, np.array(labels), classes, epochs=4, seed=8) if kept else first
 
 
 def judge(model: Classifier, documents: list[list[list[str]]]) -> tuple[list[list[str | None]], list[list[float]], list[str | None], list[float]]:
     """Of each document, given as paragraphs of words: languages and confidences of the paragraphs, its own language and confidence.
 
     What the other paragraphs say is a paragraph's prior, such that a few ambiguous words don't make a document
-    a mixed one. The document has the language of most letters of its paragraphs. Paragraphs of few words, none
-    of which training saw SEEN times, are taken for names.
+    a mixed one. The document has the language of most letters of its paragraphs.
     """
     n, k = len(documents), len(model.classes)
     lang = [[None] * len(d) for d in documents]
@@ -292,12 +294,7 @@ def judge(model: Classifier, documents: list[list[list[str]]]) -> tuple[list[lis
     if not where:
         return lang, sure, own, own_sure
     counts = np.array([len(documents[i][j]) for i, j in where])
-    odds, letters, seen = model.log_odds_and_letters([documents[i][j] for i, j in where])
-    kept = (counts >= NAME_WORDS) | (seen > 0)
-    if not kept.any():
-        return lang, sure, own, own_sure
-    where = [at for at, keep in zip(where, kept.tolist(), strict=True) if keep]
-    counts, odds, letters = counts[kept], odds[kept], letters[kept]
+    odds, letters = model.log_odds_and_letters([documents[i][j] for i, j in where])
     doc = np.array([i for i, _ in where])
     # evidence grows with the number of words, up to a bound
     strength = np.clip(counts / 6, 1, 4)[:, None]
@@ -309,7 +306,7 @@ def judge(model: Classifier, documents: list[list[list[str]]]) -> tuple[list[lis
     prior = 0.3 / k + 0.7 * (others + 1 / k) / (others.sum(axis=1, keepdims=True) + 1)
     post = softmax(odds * strength + np.log(prior))
     best, confidence = post.argmax(axis=1), post.max(axis=1)
-    told = np.maximum(confidence, alone.max(axis=1)) >= model.least
+    told = np.maximum(confidence, alone.max(axis=1)) >= model.least_of(counts)
     votes = np.zeros((len(letters), k))
     votes[np.arange(len(letters)), best] = letters * told
     total = np.add.reduceat(votes, starts, axis=0)
@@ -355,7 +352,10 @@ def delivered_label() -> Column:
 
 
 def fit_on(documents: DataFrame, lang_reference: DataFrame) -> Classifier:
-    """Train on the reference and on a bounded sample of labelled documents, the first by hash of each label."""
+    """Train on the reference and on a bounded sample of labelled documents, the first by hash of each label.
+
+    The driver keeps the model, so only a changed sample is trained on again.
+    """
     reference = lang_reference.where("lang IS NOT NULL AND sample_text IS NOT NULL").select("sample_id", F.lower(F.trim("lang")).alias("lang"), "sample_text")
     reference = [(r["lang"], r["sample_text"]) for r in reference.orderBy("sample_id", "lang", "sample_text").limit(REFERENCE_TEXTS).collect()]
     codes = sorted({lang for lang, text in reference if words_of(text)})
@@ -363,7 +363,8 @@ def fit_on(documents: DataFrame, lang_reference: DataFrame) -> Classifier:
         raise ValueError("lang_reference has no text with words")
     some = documents.select("doc_id", "text", delivered_label().alias("label")).where(F.col("label").isin(codes))
     labelled = labelled_sample(some, TRAINING_DOCUMENTS, TRAINING_CHARS)
-    return fit([(lang, text) for lang, text in reference if words_of(text)], labelled)
+    reference = [(lang, text) for lang, text in reference if words_of(text)]
+    return fitted_once("language", [*reference, (), *labelled], lambda: fit(reference, labelled))
 
 
 def languages(documents: DataFrame, lang_reference: DataFrame) -> DataFrame:

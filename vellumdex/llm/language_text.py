@@ -8,31 +8,19 @@ import unicodedata
 
 import regex
 
-# Words of which page navigation is made. A short line of these alone has no language.
-NAVIGATION = frozenset(
-    """about account add all archive back bookmark browse cart categories close comment comments contact content cookies copyright
-    download email facebook faq feed follow forum forward help home imprint index jump legal like link list log login logout main map
-    menu more navigation next news of out page pages policy post posted previous print privacy profile read register repeat reply report
-    reserved reset rights rss search send share sign sitemap skip start submit subscribe tags terms this to toggle top twitter up use
-    view""".split()
-)
-NAVIGATION_WORDS = 6
-
 LINE = re.compile(r"\r\n|[\n\r]")
-ADDRESS = regex.compile(r"(?:\b[a-z][a-z0-9+.-]{1,15}://|\bwww\.)\S+|[^\s@]{1,64}@[^\s@]{1,255}", regex.I)
-TAG = regex.compile(r"<[!/?]?[A-Za-z][^<>\n]{0,300}>|<!--.{0,2000}?-->", regex.S)
-CODE = regex.compile(r"[{}]|[\w\])]\s*(?:[-+*/|&:=!]=|=>|->)|\w\(\w*[\[\])]|;\s*$")
-CODE_PIECE = regex.compile(r"\{[^{}]{0,2000}\}|\w{0,80}[(\[]\w{0,80}[\[\]()]{1,9}\S{0,80}|\S{0,80}[=<>{};]\S{0,80}")
-#: A line with code and fewer blanks than this beside it has no prose.
-CODE_WORDS = 8
-#: What code can't do without; most lines have none of it.
-CODE_HINT, CALL = re.compile(r"[{}\[\]=;>]"), re.compile(r"\w\(")
-#: Characters of a piece beyond which no language writes it without a space.
-LONGEST_PIECE = 35
+#: Patterns have no bounds on what they match; possessive runs and starts at borders keep them linear.
+ADDRESS = regex.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://\S*+|\bwww\.\S++|(?<!\S)[^\s@]++@\S++", regex.I)
+TAG = regex.compile(r"<[!/?]?[A-Za-z][^<>\n]*+>")
+#: A line of parts of so many words at most with these signs between them is navigation.
+MENU, MENU_WORDS = re.compile(r"\s[·•]\s|\|"), 3
+#: Lines without any of these have no code.
+CODE_HINT = re.compile(r"[{}\[\]=;<>]")
+BLOCK = regex.compile(r"\{[^{}]*+\}")
+#: A piece of code: braces, an index, an assignment or comparison, an arrow, a statement's end inside.
+CODE_PIECE = re.compile(r"[{}=<>]|\w\[|\]\w|[(\[]\w*\[|;\S|^;$|\d;$|[)\]];$")
 ODD_SIGN = re.compile(r"[\d/\\_=+]")
-#: A run of so many ASCII characters is no prose; it goes first, such that no later pattern meets one.
-LONG_RUN = re.compile(rf"(?<![!-~])[!-~]{{{LONGEST_PIECE + 1},}}")
-LONGEST_WORD = 80
+PARTS = re.compile(r"[\s,;]+")
 SIGNS, FIGURE, LETTER = re.compile(r"[/\\_=+]"), re.compile(r"\d"), re.compile(r"[^\W\d_]")
 # Units, which after a number belong to it.
 UNIT = regex.compile(r"\d[^\S\r\n]?(?:km|cm|mm|m|kg|mg|g|ms|s|h|min|kb|mb|gb|tb|l|ml|am|pm|eur|usd|px|pt)\b", regex.I)
@@ -70,53 +58,66 @@ def repaired(text: str) -> str:
     return unicodedata.normalize("NFKC", UNSEEN.sub("", unicodedata.normalize("NFC", text)))
 
 
+def without_comments(text: str) -> str:
+    """Without <!-- ... --> of any length; one that isn't closed stays."""
+    out, last = [], 0
+    while (start := text.find("<!--", last)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        out += [text[last:start], " "]
+        last = end + 3
+    return "".join(out) + text[last:] if out else text
+
+
 def split_words(line: str) -> list[str]:
-    """Runs of letters, joined by single apostrophes; longer ones than LONGEST_WORD are none."""
+    """Runs of letters, joined by single apostrophes."""
     if line.isascii() and "''" not in line:
         words = line.translate(NO_LETTERS).split()
-        if "'" in line:
-            words = [w for w in (w.strip("'") for w in words) if w]
-    else:
-        words = WORD.findall(line)
-    return words if len(line) <= LONGEST_WORD else [w for w in words if len(w) <= LONGEST_WORD]
+        return [w for w in (w.strip("'") for w in words) if w] if "'" in line else words
+    return WORD.findall(line)
 
 
-def is_navigation(words: list[str]) -> bool:
-    return len(words) <= NAVIGATION_WORDS and all(w in NAVIGATION for w in words)
+def is_menu(line: str) -> bool:
+    """Two or more short parts with bars or dots between them, as navigation in any language has them."""
+    parts = [p for p in MENU.split(line) if p.strip()]
+    return len(parts) > 1 and all(len(p.split()) <= MENU_WORDS for p in parts)
+
+
+def without_code(line: str) -> str:
+    """A line without its pieces of code; nothing of it if they are half of its pieces or more."""
+    pieces = BLOCK.sub(" {} ", line).split()
+    prose = [p for p in pieces if not CODE_PIECE.search(p)]
+    return " ".join(prose) if 2 * len(prose) > len(pieces) else ""
 
 
 def is_blob(piece: str) -> bool:
     """A digest, an encoded block, a path, a name with figures."""
-    if len(piece) > LONGEST_PIECE or len(SIGNS.findall(piece)) > 1:
-        return True
-    return bool(FIGURE.search(piece) and LETTER.search(piece))
+    return len(SIGNS.findall(piece)) > 1 or bool(FIGURE.search(piece) and LETTER.search(piece))
 
 
 def words_of(paragraph: str) -> list[str]:
-    """Lower-case words of prose, in order. Lines of code and navigation, addresses, tags and blobs give none."""
+    """Lower-case words of prose, in order. Code, menus, addresses, tags and blobs give none.
+
+    What is left out is told by how it looks, never by its length. Takes time in proportion to the text.
+    """
     text = repaired(paragraph)
     if "://" in text or "@" in text or "www." in text:
         text = ADDRESS.sub(" ", text)
     if "<" in text:
-        text = TAG.sub(" ", text)
-    text = LONG_RUN.sub(" ", text)
+        text = TAG.sub(" ", without_comments(text))
     out: list[str] = []
     for line in LINE.split(text):
-        if (CODE_HINT.search(line) or ("(" in line and CALL.search(line))) and CODE.search(line):
-            line = CODE_PIECE.sub(" ", line)
-            if line.count(" ") < CODE_WORDS:
-                continue
+        if is_menu(line):
+            continue
+        if CODE_HINT.search(line):
+            line = without_code(line)
         if ODD_SIGN.search(line):
             line = UNIT.sub(" ", line)
-            pieces = line.split()
+            pieces = PARTS.split(line)
             if any(is_blob(p) for p in pieces if not p.isalpha()):
                 prose = [p for p in pieces if not is_blob(p)]
                 if len(pieces) - len(prose) >= max(3, len(prose)):
                     continue  # what is left of it may be a digest without figures
                 line = " ".join(prose)
-        words = split_words(line.lower())
-        if words and not is_navigation(words):
-            out += words
+        out += split_words(line.lower())
     return out
 
 
