@@ -62,21 +62,37 @@ def test_dirty_targets_and_nothing(spark):
     assert [r["source"] for r in mixing.short_sources(docs.where("source IS NULL"), targets).collect()] == ["cooking"]
 
 
-def test_rates_solve_the_bounded_problem(spark):
+@pytest.mark.parametrize("stored_every", [16, 2])
+def test_rates_solve_the_bounded_problem(spark, monkeypatch, stored_every):
     """Against plain projected descent on the same problem, run far longer with all documents in one array."""
+    monkeypatch.setattr(mixing, "STORED_EVERY", stored_every)
     r = np.random.default_rng(3)
     membership = r.dirichlet(np.ones(4), 200)
     membership[:150] = np.eye(4)[r.integers(0, 3, 150)]
     tokens, most = r.integers(1, 500, 200).astype(float), r.integers(0, 4, 200).astype(float)
     wanted = np.array([0.5, 0.2, 1.5, 0.0]) * tokens.sum() / 3
-    groups = spark.createDataFrame([(m.tolist(), float(c), float(t)) for m, c, t in zip(membership, most, tokens, strict=True)], "membership array<double>, most double, tokens double").repartition(3)
-    _, expected = mixing.fit_rates(groups, wanted)
+    rows = [(m.tolist(), float(c), float(t), 0.0) for m, c, t in zip(membership, most, tokens, strict=True)]
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-4)
+    fit = mixing.descend(mixing.of_table(spark.createDataFrame(rows, mixing.GROUPS).repartition(3), 4), wanted, wanted.sum())
+    same = mixing.descend(mixing.of_arrays(membership, most, tokens), wanted, wanted.sum())
+    assert fit.steps == pytest.approx(same.steps) and fit.expected == pytest.approx(same.expected) and fit.residual <= 1e-4
+    monkeypatch.undo()
+    long = mixing.descend(mixing.of_arrays(membership, most, tokens), wanted, wanted.sum())
     size, rate = tokens @ membership, np.zeros(200)
     for _ in range(20_000):
         rate = np.clip(rate + membership @ ((wanted - (rate * tokens) @ membership) / size), 0, most)
     best = (rate * tokens) @ membership
     loss = lambda e: (((e - wanted) ** 2) / size).sum()
-    assert loss(expected) <= loss(best) * 1.01 + 1e-6
+    assert long.residual <= mixing.TOLERANCE and loss(long.expected) <= loss(best) * 1.001 + 1e-6
+    few = mixing.descend(mixing.of_arrays(membership, most, tokens), wanted, wanted.sum(), 2)
+    assert len(few.steps) == 2 and few.residual > mixing.TOLERANCE
+
+
+def test_the_fit_of_labelled_documents_tells_short_sources():
+    own, repeats, wanted = np.array([100.0, 0.0, 40.0, 50.0, 30.0]), np.array([2.0, 3.0, 1.0, 0.0, 2.0]), np.array([150.0, 10.0, 60.0, 5.0, 60.0, 0.0])
+    fit = mixing.descend(mixing.of_arrays(np.eye(6)[:-1], repeats, own), wanted, 345)
+    rates = mixing.replay(fit.steps, np.eye(6)[:-1], repeats, np.zeros(5))
+    assert rates == pytest.approx([1.5, 0, 1, 0, 2]) and fit.expected == pytest.approx([150, 0, 40, 0, 60, 0])
 
 
 def test_cuts_are_as_near_as_can_be(spark):
@@ -115,3 +131,21 @@ def test_copies_without_a_source_are_reported(spark, own_first):
     if own_first:
         assert found["cooking"]["total_share"] == pytest.approx(0.4, abs=0.005)
         assert not any(copies[k] for k in range(201, 300, 2))
+
+
+def test_size_of_the_mix(spark):
+    targets = spark.createDataFrame([("cooking", 0.3, 2), ("sailing", 0.7, 2), ("poems", 0.1, 3)], TARGETS)
+    docs = documents(spark)
+    for own_first in (False, True):
+        rows = {r["source"]: r for r in mixing.mix(docs, targets, own_first=own_first, size=500)[1].collect()}
+        assert {r["size"] for r in rows.values()} == {500} and rows["cooking"]["reachable"] and rows["cooking"]["expected_tokens"] == pytest.approx(150, abs=1)
+        assert {r["residual"] <= mixing.TOLERANCE for r in rows.values()} == {True}
+    met = {r["source"]: r for r in mixing.mix(docs, targets, own_first=True, meet_shares=True)[1].collect()}
+    assert not mixing.mix(docs, targets, own_first=True)[1].where("source = 'sailing'").first()["reachable"]
+    assert met["sailing"]["size"] < met["sailing"]["total"] and met["sailing"]["total_share"] == pytest.approx(0.7, abs=0.001)
+    assert met["cooking"]["total_share"] == pytest.approx(0.3, abs=0.02) and not met["poems"]["reachable"]
+
+
+def test_flat_probabilities_leave_no_document_out(spark):
+    flat = spark.createDataFrame([([1 / 41] * 41,), ([0.9] + [0.0025] * 40,), ([0.0] * 40 + [1.0],)], "membership array<double>")
+    assert [r[0] for r in flat.select(mixing._most_of(np.arange(2.0, 42.0))).collect()] == [2.0, 2.0, 0.0]

@@ -3,12 +3,13 @@
 Each document belongs to domains, the wanted sources and one for all others, with probabilities: certainly to
 its own source where that is delivered, otherwise as a classifier trained on labelled documents says. A rate
 for each document, between 0 and the most repeats, is fitted by projected gradient descent such that the
-expected tokens of each domain meet its target; rates then become whole numbers of copies.
+expected tokens of each domain meet its target; rates then become whole numbers of copies. A source all of whose
+documents the fit leaves at their most repeats, short of its target, can't reach its share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumdex.llm.encode import BYTE_BPE, encoder_for, in_parts, texts_of
-from vellumdex.llm.labelled import labelled_sample
+from vellumdex.llm.labelled import fitted_once, labelled_sample
 from vellumdex.llm.language import Classifier, pieces, softmax, train
 from vellumdex.llm.language_text import paragraphs_of, words_of
 from vellumdex.session import written
@@ -28,13 +29,19 @@ TRAINING_DOCUMENTS, TRAINING_CHARS = 60, 20_000
 #: Texts that training sees at least, the same ones again if there are fewer.
 TRAINING_TEXTS = 20_000
 MOST_SOURCES = 1000
-#: The fit ends when no domain's expected tokens move by more than this part of the total, or after so many steps.
-TOLERANCE, MOST_STEPS = 1e-6, 60
+#: The fit ends when no domain's expected tokens move by more than this part of the mix's size, or after so many steps;
+#: the report says how many it took and by what part the last one moved.
+TOLERANCE, MOST_STEPS = 1e-6, 2000
+#: Rates are written every so many steps, so that no job goes through more of them.
+STORED_EVERY = 16
 #: Documents of a source are cut at one of so many places when rates become whole numbers.
 CUTS = 1 << 14
-LEAST_MEMBERSHIP = 0.05
+#: A document may belong to the domains that are at least this part as probable as its most probable one.
+LEAST_PART = 0.1
 
-REPORT = "source string, target_share double, max_repeats int, documents bigint, tokens bigint, total bigint, rate double, mix_tokens bigint, expected_tokens double, total_share double, mix_share double, reachable boolean"
+GROUPS = "membership array<double>, most double, tokens double, rate double"
+REPORT = """source string, target_share double, max_repeats int, documents bigint, tokens bigint, total bigint, size bigint, rate double, mix_tokens bigint,
+    expected_tokens double, total_share double, mix_share double, reachable boolean, steps int, residual double"""
 
 
 def plain_source() -> Column:
@@ -74,7 +81,9 @@ def fit_domains(documents: DataFrame, sources: list[str]) -> tuple[Classifier |
     if len(set(labels)) < 2:
         return None, counts
     # so many rounds that a small sample is learnt as well
-    return train(texts, np.array(labels), [*sources, ""], epochs=int(np.clip(TRAINING_TEXTS // len(texts), 3, 60))), counts
+    classes, rounds = [*sources, ""], int(np.clip(TRAINING_TEXTS // len(texts), 3, 60))
+    sample = [tuple(classes), *((label, *words) for label, words in zip(labels, texts, strict=True))]
+    return fitted_once("domains", sample, lambda: train(texts, np.array(labels), classes, epochs=rounds)), counts
 
 
 def memberships(model: Classifier | None, prior: np.ndarray, texts: list[str]) -> np.ndarray:
@@ -121,56 +130,99 @@ def measured_documents(documents: DataFrame, targets: Targets, vocabulary: str)
     return written(rows.mapInArrow(_measured(file, shared), f"doc_id {kind}, source string, n_tokens bigint, membership array<double>"), "measured")
 
 
-def replay(steps: np.ndarray, membership: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Rates after all steps so far: each step adds its domains' pull and keeps to the bounds."""
-    rate = np.zeros(len(most))
+def replay(steps: np.ndarray, membership: np.ndarray, most: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Rates after some steps: each adds its domains' pull and keeps to the bounds."""
     for pull in steps:
         rate = np.clip(rate + membership @ pull, 0, most)
     return rate
 
 
-def _totals(steps: np.ndarray, k: int):
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(k)
-        for batch in batches:
-            if batch.num_rows:
-                membership = batch.column("membership").flatten().to_numpy().reshape(-1, k)
-                tokens, most = batch.column("tokens").to_numpy(), batch.column("most").to_numpy()
-                sums += (replay(steps, membership, most) * tokens) @ membership
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(sums)], names=["domain", "tokens"])
+@dataclass
+class Fit:
+    """Steps of a descent, the expected tokens of each domain they lead to, and the part of the size the last step moved."""
 
-    return totals
+    steps: np.ndarray
+    expected: np.ndarray
+    residual: float
 
 
-def fit_rates(groups: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the descent, and the expected tokens of each domain they lead to.
+def descend(expected: Callable[[np.ndarray], np.ndarray], wanted: np.ndarray, scale: float, most_steps: int = MOST_STEPS) -> Fit:
+    """Least squares by projected gradient descent, `expected` giving the expected tokens of each domain after some steps.
 
-    `groups` has membership, most and tokens: documents that are alike in the first two have the same rate all
-    along and stand together. Minimised is the sum over domains of (expected - wanted)^2 / size, size being the
-    domain's expected tokens at rate 1. In the metric of the documents' tokens the gradient has a Lipschitz
-    constant of at most 1, so steps of length 1 converge, and projection is clipping. A job sums each step over
-    all groups; the driver holds one number a domain and step.
+    Minimised is the sum over domains of (expected - wanted)^2 / size, size being the domain's expected tokens at
+    rate 1. In the metric of the documents' tokens the gradient has a Lipschitz constant of at most 1, so steps of
+    length 1 converge, and projection is clipping.
     """
     k = len(wanted)
+    # rate 1 for all, whatever their most repeats: one step of pull 1 in each domain, as memberships sum to 1
+    size = expected(None)
+    steps, now, residual = np.zeros((0, k)), np.zeros(k), 0.0
+    while len(steps) < most_steps:
+        pull = np.divide(wanted - now, size, out=np.zeros(k), where=size > 0)
+        steps = np.vstack([steps, pull])
+        before, now = now, expected(steps)
+        residual = float(np.abs(now - before).max() / max(1.0, scale)) if k else 0.0
+        if residual <= TOLERANCE:
+            break
+    return Fit(steps, now, residual)
 
-    def expected(steps: np.ndarray) -> np.ndarray:
-        rows = groups.mapInArrow(_totals(steps, k), "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()
+
+def of_arrays(membership: np.ndarray, most: np.ndarray, tokens: np.ndarray) -> Callable[[np.ndarray | None], np.ndarray]:
+    """What `descend` asks, for a few groups of documents on the driver."""
+
+    def expected(steps: np.ndarray | None) -> np.ndarray:
+        return ((np.ones(len(most)) if steps is None else replay(steps, membership, most, np.zeros(len(most)))) * tokens) @ membership
+
+    return expected
+
+
+def of_table(groups: DataFrame, k: int) -> Callable[[np.ndarray | None], np.ndarray]:
+    """What `descend` asks, for a table of GROUPS: a job sums each step over all rows.
+
+    The driver holds one number a domain and step. Every STORED_EVERY steps the rates so far are written.
+    """
+    state = {"groups": groups, "done": 0}
+
+    def expected(steps: np.ndarray | None) -> np.ndarray:
+        if steps is not None and len(steps) - state["done"] > STORED_EVERY:
+            passed = steps[state["done"] : -1]
+            state["groups"] = written(state["groups"].mapInArrow(_advanced(passed), GROUPS), "rates")
+            state["done"] += len(passed)
+        new = None if steps is None else steps[state["done"] :]
+        rows = state["groups"].mapInArrow(_totals(new, k), "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()
         sums = np.zeros(k)
         for r in rows:
             sums[r["domain"]] = r["tokens"]
         return sums
 
-    # rate 1 for all: one step of pull 1 in each domain, as memberships sum to 1
-    size = expected(np.ones((1, k)))
-    steps = np.zeros((0, k))
-    now = np.zeros(k)
-    for _ in range(MOST_STEPS):
-        pull = np.divide(wanted - now, size, out=np.zeros(k), where=size > 0)
-        steps = np.vstack([steps, pull])
-        before, now = now, expected(steps)
-        if np.abs(now - before).max() <= TOLERANCE * max(1.0, wanted.sum()):
-            break
-    return steps, now
+    return expected
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    n = batch.num_rows
+    return [batch.column("membership").flatten().to_numpy().reshape(n, -1), *(batch.column(c).to_numpy() for c in ("most", "tokens", "rate"))]
+
+
+def _advanced(steps: np.ndarray):
+    def advanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                membership, most, _, rate = _columns(batch)
+                yield batch.set_column(3, "rate", pa.array(replay(steps, membership, most, rate)))
+
+    return advanced
+
+
+def _totals(steps: np.ndarray | None, k: int):
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(k)
+        for batch in batches:
+            if batch.num_rows:
+                membership, most, tokens, rate = _columns(batch)
+                sums += ((np.ones(len(most)) if steps is None else replay(steps, membership, most, rate)) * tokens) @ membership
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(sums)], names=["domain", "tokens"])
+
+    return totals
 
 
 def at_place() -> Column:
@@ -178,19 +230,25 @@ def at_place() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(CUTS)).cast("int")
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE, own_first: bool = False) -> tuple[DataFrame, DataFrame]:
+def mix(
+    documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE, own_first: bool = False, size: int | None = None, meet_shares: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, n_tokens, copies), and the report of the shares reached (see REPORT).
 
-    The mix's size is the number of tokens of all rows of `documents`. Sources are compared in lower case
-    without blanks at the ends; documents of unwanted ones aren't taken. Documents without a source count by
-    their probable domains in expected_tokens, with the fewest repeats of the domains they may belong to.
-    copies is 0 for documents left out, so the mix has a row for each document of a wanted or missing source.
-    mix_tokens are those of the labelled documents taken, total_share their part of the mix's intended size,
-    mix_share their part of all tokens in the mix, which is smaller where sources fall short; reachable says
-    whether all documents at max_repeats hold target_share of the total, exactly. A wanted source without
-    documents has 0 tokens; with no tokens at all every target is 0 and reachable. Where the mix has copies of
-    documents without a source, the report has a row of source null for them, without target, repeats and
-    reachable; its expected_tokens stand in those of the sources as well. mix_share sums to 1 over all rows.
+    The mix's size is the number of tokens of all rows of `documents`, or `size`. With `meet_shares` it is at most
+    what lets every wanted source that has documents meet its share. Sources are compared in lower case without
+    blanks at the ends; documents of unwanted ones aren't taken. Documents without a source count by their probable
+    domains in expected_tokens, with the fewest repeats of the domains they may belong to. copies is 0 for
+    documents left out, so the mix has a row for each document of a wanted or missing source.
+
+    In the report, mix_tokens are those of the labelled documents taken, total_share their part of the mix's
+    intended size, mix_share their part of all tokens in the mix, which is smaller where sources fall short;
+    reachable is false for sources that the fit leaves short with all their documents at max_repeats, if indeed
+    tokens * max_repeats < target_share * size. A wanted source without documents has 0 tokens; with no tokens at
+    all every target is 0 and reachable. Where the mix has copies of documents without a source, the report has a
+    row of source null for them, without target, repeats and reachable; its expected_tokens stand in those of the
+    sources as well. mix_share sums to 1 over all rows. steps and residual are those of the fit (see `Fit`); it has
+    converged if residual is at most TOLERANCE.
 
     With `own_first`, a source's own documents meet its target by themselves where they can. Documents without a
     source are then taken only where the most probable of their domains is a source that falls short; else
@@ -202,28 +260,33 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE
     targets = targets_of(mix_targets)
     k = len(targets.sources) + 1
     measured = measured_documents(documents, targets, vocabulary)
-    by_source = measured.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
-    wanted_only = by_source.where(F.col("source").isin(targets.sources)) if targets.sources else by_source.limit(0)
-    held = {r["source"]: (r["documents"], r["tokens"]) for r in wanted_only.collect()}
-    total = measured.agg(F.sum("n_tokens")).first()[0] or 0
-    wanted = np.append(targets.shares * total, 0.0)
+    wanted_source = F.when(F.col("source").isin(targets.sources), F.col("source")) if targets.sources else F.lit(None).cast("string")
+    sums = measured.groupBy(wanted_source.alias("source"), F.col("source").isNull().alias("missing")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens")).collect()
+    held = {r["source"]: (r["documents"], r["tokens"]) for r in sums if r["source"] is not None}
+    total = sum(r["tokens"] for r in sums)
     repeats = targets.repeats.astype(float)
-
     own = np.array([float(held.get(s, (0, 0))[1]) for s in targets.sources])
-    met = np.minimum(repeats * own, wanted[:-1])
-    short = met < wanted[:-1]
-    labelled = [] if own_first else [(np.eye(k)[i].tolist(), float(repeats[i]), own[i].item()) for i, s in enumerate(targets.sources) if s in held]
+    goal = total if size is None else size
+    if meet_shares:
+        goal = min([goal, *(int(n * r / share) for n, r, share in zip(own, repeats, targets.shares, strict=True) if n and share)])
+    wanted = np.append(targets.shares * goal, 0.0)
+
+    # all documents of a source are alike in the fit and stand together: one row each
+    alone = descend(of_arrays(np.eye(k)[:-1], repeats, own), wanted, goal)
+    own_rates = replay(alone.steps, np.eye(k)[:-1], repeats, np.zeros(k - 1))
+    short = ((own == 0) | (own_rates >= repeats * (1 - 1e-9))) & (alone.expected[:-1] <= wanted[:-1] * (1 + 1e-9))
+    short &= np.array([held.get(s, (0, 0))[1] * int(r) < share * goal for s, r, share in zip(targets.sources, targets.repeats, targets.shares, strict=True)], bool)
+
     most = _most_of(repeats, short if own_first else None).alias("most")
-    soft = measured.where("source IS NULL").select("membership", most, F.col("n_tokens").cast("double").alias("tokens"))
-    schema = "membership array<double>, most double, tokens double"
-    groups = written(spark.createDataFrame(labelled, schema).unionByName(soft), "groups")
+    soft = measured.where("source IS NULL").select("membership", most, F.col("n_tokens").cast("double").alias("tokens"), F.lit(0.0).alias("rate"))
     if own_first:
-        fixed = np.append(met, 0.0)
-        steps, added = fit_rates(groups, wanted - fixed)
-        expected, own_rates = fixed + added, np.divide(met, own, out=np.zeros(k - 1), where=own > 0)
+        fit = descend(of_table(written(soft, "groups"), k), wanted - alone.expected, goal)
+        expected = alone.expected + fit.expected
     else:
-        steps, expected = fit_rates(groups, wanted)
-        own_rates = np.array([replay(steps, np.eye(k)[[i]], repeats[[i]])[0] for i in range(k - 1)])
+        labelled = [(np.eye(k)[i].tolist(), float(repeats[i]), own[i].item(), 0.0) for i, s in enumerate(targets.sources) if s in held]
+        fit = descend(of_table(written(spark.createDataFrame(labelled, GROUPS).unionByName(soft), "groups"), k), wanted, goal)
+        expected = fit.expected
+        own_rates = replay(fit.steps, np.eye(k)[:-1], repeats, np.zeros(k - 1))
 
     # whole copies: all documents of a source have one rate; those before a cut get one copy more than the others
     rates = {s: float(own_rates[i]) for i, s in enumerate(targets.sources) if s in held}
@@ -234,22 +297,24 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE
     certain = known.join(table, "source").select("doc_id", "source", "n_tokens", (F.col("whole") + (at_place() < F.col("cut")).cast("int")).alias("copies"))
     unsure = measured.where("source IS NULL").withColumn("most", most)
     kind = unsure.schema["doc_id"].dataType.simpleString()
-    copied = unsure.select("doc_id", "n_tokens", "membership", "most", (at_place() / F.lit(float(CUTS))).alias("u")).mapInArrow(_copies(steps, k), f"doc_id {kind}, source string, n_tokens bigint, copies int")
+    copied = unsure.select("doc_id", "n_tokens", "membership", "most", (at_place() / F.lit(float(CUTS))).alias("u")).mapInArrow(_copies(fit.steps, k), f"doc_id {kind}, source string, n_tokens bigint, copies int")
     taken = certain.unionByName(copied)
 
     guessed = copied.agg(F.count(F.lit(1)), F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies"))).first()
     n_guessed, guessed_tokens, guessed_taken = (x or 0 for x in guessed)
     mix_total = sum(t for _, t in cuts.values()) + guessed_taken
+    taken_steps = max(len(fit.steps), len(alone.steps)), max(fit.residual, alone.residual)
     rows = []
     for i, s in enumerate(targets.sources):
         n, tokens = held.get(s, (0, 0))
         got = cuts[s][1] if s in cuts else 0
-        reachable = not tokens * int(targets.repeats[i]) < targets.shares[i] * total
-        rows.append((s, float(targets.shares[i]), int(targets.repeats[i]), n, tokens, total, rates.get(s, 0.0), got, float(expected[i]), got / total if total else 0.0, got / mix_total if mix_total else 0.0, bool(reachable)))
+        shares = got / goal if goal else 0.0, got / mix_total if mix_total else 0.0
+        rows.append((s, float(targets.shares[i]), int(targets.repeats[i]), n, tokens, total, goal, rates.get(s, 0.0), got, float(expected[i]), *shares, not short[i], *taken_steps))
     if guessed_taken:
         of_guessed = float(expected.sum() - sum(rates[s] * held[s][1] for s in rates))
-        rows.append((None, None, None, n_guessed, guessed_tokens, total, of_guessed / guessed_tokens, guessed_taken, of_guessed, guessed_taken / total, guessed_taken / mix_total, None))
-    return taken, spark.createDataFrame(rows, REPORT)
+        shares = guessed_taken / goal, guessed_taken / mix_total
+        rows.append((None, None, None, n_guessed, guessed_tokens, total, goal, of_guessed / guessed_tokens, guessed_taken, of_guessed, *shares, None, *taken_steps))
+    return taken, spark.createDataFrame([tuple(x.item() if isinstance(x, np.generic) else x for x in r) for r in rows], REPORT)
 
 
 def _most_of(repeats: np.ndarray, short: np.ndarray | None = None) -> Column:
@@ -258,7 +323,8 @@ def _most_of(repeats: np.ndarray, short: np.ndarray | None = None) -> Column:
     With `short`, 0 as well where the most probable domain isn't a wanted one that falls short.
     """
     listed = F.array(*(F.lit(float(r)) for r in repeats)) if len(repeats) else F.array().cast("array<double>")
-    may = F.transform(F.arrays_zip(F.slice("membership", 1, max(1, len(repeats))).alias("p"), listed.alias("r")), lambda x: F.when(x["p"] >= LEAST_MEMBERSHIP, x["r"]))
+    of_wanted = F.arrays_zip(F.slice("membership", 1, max(1, len(repeats))).alias("p"), listed.alias("r"))
+    may = F.transform(of_wanted, lambda x: F.when(x["p"] >= LEAST_PART * F.array_max("membership"), x["r"]))
     most = F.coalesce(F.array_min(may), F.lit(0.0)).cast("double")
     if short is None:
         return most
@@ -291,8 +357,8 @@ def _cuts(known: DataFrame, rates: dict[str, float], tokens: dict[str, int]) ->
 def _copies(steps: np.ndarray, k: int):
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            membership = batch.column("membership").flatten().to_numpy().reshape(-1, k)
-            rate = replay(steps, membership, batch.column("most").to_numpy())
+            membership = batch.column("membership").flatten().to_numpy().reshape(batch.num_rows, k)
+            rate = replay(steps, membership, batch.column("most").to_numpy(), np.zeros(batch.num_rows))
             n = np.floor(rate) + (batch.column("u").to_numpy() < rate - np.floor(rate))
             columns = [batch.column("doc_id"), pa.nulls(len(n), pa.string()), batch.column("n_tokens"), pa.array(n.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "n_tokens", "copies"])
@@ -303,7 +369,8 @@ def _copies(steps: np.ndarray, k: int):
 def short_sources(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = BYTE_BPE) -> DataFrame:
     """(source): wanted sources of the mix that fall short of their share even with all documents at max_repeats.
 
-    Exactly: tokens * max_repeats < target_share * total. Documents without a source, which may add to a
-    source's expected tokens, don't count here.
+    The fit leaves them short with every document at its bound; of these, those with tokens * max_repeats <
+    target_share * total, exactly. Documents without a source, which may add to a source's expected tokens, don't
+    count here.
     """
-    return mix(documents, mix_targets, vocabulary)[1].where(~F.col("reachable")).select("source")
+    return mix(documents, mix_targets, vocabulary, own_first=True)[1].where(~F.col("reachable")).select("source")
