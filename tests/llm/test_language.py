@@ -49,7 +49,7 @@ def test_confidence_is_calibrated(model):
     texts = [words_of(prose(lang, 1, r))[:3] for lang in PARTS for _ in range(200)]
     _, sure = model.predict(texts)
     assert len(model.least) == len(language.SIZES) and all(0 < x < 1 for x in model.least) and sure.min() >= 0 and sure.max() <= 1
-    assert model.least_of(np.array([1, 2, 3, 5, 6, 900])).tolist() == [*model.least[:3], model.least[2], model.least[3], model.least[3]]
+    assert model.by_size((1, 2, 3, 6), np.array([1, 2, 3, 5, 6, 900])).tolist() == [1, 2, 3, 3, 6, 6]
 
 
 def test_what_does_not_count():

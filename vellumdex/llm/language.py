@@ -28,7 +28,7 @@ SUBWORDS = (2, 3, 4)
 #: Bounds of training: labelled documents of each language, characters of one, and reference texts.
 TRAINING_DOCUMENTS, TRAINING_CHARS, REFERENCE_TEXTS = 150, 20_000, 5000
 CACHED_WORDS = 300_000
-#: Numbers of words for which the least confidence is calibrated: each holds up to the next.
+#: Numbers of words for which confidence, and the least of it, is calibrated: each holds up to the next.
 SIZES = (1, 2, 3, 6)
 #: Paragraphs from so many words on can teach words that the first model doesn't know.
 CLEAR_WORDS = 12
@@ -111,7 +111,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 class Classifier:
     """`scores` has what each bucket says for each class: its vector times the softmax's weights."""
 
-    def __init__(self, classes: list[str], scores: np.ndarray, bias: np.ndarray, sharpness: float = 1.0, least: tuple[float, ...] = (0.0,) * len(SIZES)):
+    def __init__(self, classes: list[str], scores: np.ndarray, bias: np.ndarray, sharpness: tuple[float, ...] = (1.0,) * len(SIZES), least: tuple[float, ...] = (0.0,) * len(SIZES)):
         self.classes, self.scores, self.bias, self.sharpness, self.least = classes, scores, bias, sharpness, least
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(classes)), np.float32)
@@ -157,15 +157,15 @@ class Classifier:
         rows = self.rows([w for t in texts for w in t])
         counts = np.array([len(t) for t in texts])
         starts = np.cumsum(counts) - counts
-        odds = (np.add.reduceat(self.table[rows], starts, axis=0) / counts[:, None] + self.bias) * self.sharpness
+        odds = (np.add.reduceat(self.table[rows], starts, axis=0) / counts[:, None] + self.bias) * self.by_size(self.sharpness, counts)[:, None]
         words, at = np.unique(rows, return_inverse=True)
-        alone = softmax((self.table[words] + self.bias) * self.sharpness) >= 1 / len(self.classes)
+        alone = softmax((self.table[words] + self.bias) * self.sharpness[0]) >= 1 / len(self.classes)
         counted = alone[at, np.repeat(odds.argmax(axis=1), counts)]
         return odds, np.add.reduceat(self.lengths[rows] * counted, starts).astype(float)
 
-    def least_of(self, counts: np.ndarray) -> np.ndarray:
-        """Confidence below which texts of so many words are rejected."""
-        return np.array(self.least)[np.searchsorted(SIZES, counts, side="right") - 1]
+    def by_size(self, values: tuple[float, ...], counts: np.ndarray) -> np.ndarray:
+        """The sharpness, or the confidence below which to reject, of texts of so many words."""
+        return np.array(values, np.float32)[np.searchsorted(SIZES, counts, side="right") - 1]
 
     def predict(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Class number, -1 where rejected, and confidence of each text."""
@@ -174,7 +174,7 @@ class Classifier:
         if full:
             p = softmax(self.log_odds([texts[k] for k in full]))
             best[full], sure[full] = p.argmax(axis=1), p.max(axis=1)
-            least = self.least_of(np.array([len(texts[k]) for k in full]))
+            least = self.by_size(self.least, np.array([len(texts[k]) for k in full]))
             best[np.array(full)[sure[full] < least]] = -1
         return best, sure
 
@@ -217,26 +217,23 @@ def train(texts: list[list[str]], labels: np.ndarray, classes: list[str], epochs
 
 
 def calibrate(model: Classifier, texts: list[list[str]], labels: np.ndarray, rng: np.random.Generator, passed: float = 0.02, lost: float = 0.002) -> None:
-    """Set sharpness to fit the held-out texts best, and the least confidence to reject words of shuffled letters.
+    """For each of SIZES, as paragraphs can be short: sharpness that fits held-out pieces best, and the least confidence.
 
-    Of these the part `passed` may be accepted, but no more than the part `lost` of the held-out texts, or of single
-    words LOST_WORDS, may be rejected. Pieces of each of SIZES are used, as paragraphs can be short.
+    A single word tells less than six do, so it gets less sharpness. Words of shuffled letters are to be rejected:
+    of these the part `passed` may be accepted, but no more than the part `lost` of the held-out pieces rejected.
     """
-    least = []
-    for size in reversed(SIZES):
+    sharpness, least = [], []
+    for size in SIZES:
         short = [t[k : k + size] for t in texts for k in range(0, len(t), size)]
         of = np.concatenate([np.full(-(-len(t) // size), c) for t, c in zip(texts, labels, strict=True)])
-        raw = model.log_odds(short)
-        if size == max(SIZES):
-            fit = [(-np.log(softmax(raw * s)[np.arange(len(of)), of] + 1e-12).mean(), s) for s in np.geomspace(0.1, 20, 60)]
-            model.sharpness = float(min(fit)[1])
-            raw = raw * model.sharpness
-        p = softmax(raw)
-        sure = p.max(axis=1)[p.argmax(axis=1) == of]
         noise = [["".join(rng.permutation(list(w))) for w in t] for t in short]
-        shuffled = softmax(model.log_odds(noise)).max(axis=1)
-        least.append(float(min(MOST_REJECTED, np.quantile(shuffled, 1 - passed), np.quantile(sure, lost))))
-    model.least = tuple(reversed(least))
+        raw, shuffled = model.log_odds(short), model.log_odds(noise)
+        loss = [(-np.log(softmax(raw * s)[np.arange(len(of)), of] + 1e-12).mean(), s) for s in np.geomspace(0.1, 20, 60)]
+        sharpness.append(float(min(loss)[1]))
+        p = softmax(raw * sharpness[-1])
+        sure = p.max(axis=1)[p.argmax(axis=1) == of]
+        least.append(float(min(MOST_REJECTED, np.quantile(softmax(shuffled * sharpness[-1]).max(axis=1), 1 - passed), np.quantile(sure, lost))))
+    model.sharpness, model.least = tuple(sharpness), tuple(least)
 
 
 def pieces(words: list[str], size: int = 6) -> list[list[str]]:
@@ -306,7 +303,7 @@ def judge(model: Classifier, documents: list[list[list[str]]]) -> tuple[list[lis
     prior = 0.3 / k + 0.7 * (others + 1 / k) / (others.sum(axis=1, keepdims=True) + 1)
     post = softmax(odds * strength + np.log(prior))
     best, confidence = post.argmax(axis=1), post.max(axis=1)
-    told = np.maximum(confidence, alone.max(axis=1)) >= model.least_of(counts)
+    told = np.maximum(confidence, alone.max(axis=1)) >= model.by_size(model.least, counts)
     votes = np.zeros((len(letters), k))
     votes[np.arange(len(letters)), best] = letters * told
     total = np.add.reduceat(votes, starts, axis=0)
