@@ -329,7 +329,7 @@ def test_query_words_by_pattern(text):
 
 def test_query_reads_its_terms_only(micro_index):
     plan = search.scored_postings(micro_index, {"hello": (2, 1), "world": (3, 1)})._jdf.queryExecution().toString()
-    assert "In(term, [hello,world])" in plan.replace("`", "") and "ReadSchema: struct<term:string,doc_id:bigint,freq:bigint,doc_size:bigint>" in plan and "Join" not in plan
+    assert "In(term, [hello,world])" in plan.replace("`", "") and "map(" not in plan and "ReadSchema: struct<term:string,doc_id:bigint,freq:bigint,doc_size:bigint>" in plan and "Join" not in plan
 
 
 def test_stream_append(spark, folder):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumdex.functions.scoring import bm25
+from vellumdex.functions.scoring import number, rarity, rarity_sql, saturation_sql
 from vellumdex.functions.text import query_words
 from vellumdex.operators.index import SearchIndex
 from vellumdex.sources.corpus import regions_at
@@ -44,17 +44,16 @@ def known_terms(index: SearchIndex, text: str, key_length: int | None = None) ->
 def scored_postings(index: SearchIndex, known: dict[str, tuple[int, int]]) -> DataFrame:
     """(doc_id, term, score) of all postings of the known terms; a term typed n times scores n times.
 
-    The terms are literals, so only their row groups are read; df and repetitions come from a literal map, the
-    size of the document lies beside each posting: no join.
+    The terms are literals, so only their row groups are read, and so is all of the score that depends on the
+    term; the size of the document lies beside each posting: no join.
     """
     if not known:
-        empty = index.postings.select("doc_id", "term", F.lit(0.0).alias("score"))
-        return empty.limit(0)
-    df = F.create_map(*(F.lit(x) for t, (n, _) in known.items() for x in (t, float(n))))
-    repeats = F.create_map(*(F.lit(x) for t, (_, q) in known.items() for x in (t, float(q))))
-    hits = index.postings.where(F.col("term").isin(sorted(known)))
-    score = bm25(F.col("freq").cast("double"), df[F.col("term")], F.col("doc_size").cast("double"), F.lit(float(index.n_docs)), F.lit(index.avg_doc_size))
-    return hits.select("doc_id", "term", (repeats[F.col("term")] * score).alias("score"))
+        return index.postings.selectExpr("doc_id", "term", "0.0D AS score").limit(0)
+    # terms are of letters and digits only
+    weights = " ".join(f"WHEN '{t}' THEN {number(n * rarity(df, index.n_docs))}" for t, (df, n) in sorted(known.items()))
+    listed = ", ".join(f"'{t}'" for t in sorted(known))
+    score = f"(CASE term {weights} END) * {saturation_sql('freq', 'doc_size', index.avg_doc_size)} AS score"
+    return index.postings.where(f"term IN ({listed})").selectExpr("doc_id", "term", score)
 
 
 def matches(index: SearchIndex, text: str, mode: int, key_length: int | None = None) -> DataFrame:
@@ -65,10 +64,10 @@ def matches(index: SearchIndex, text: str, mode: int, key_length: int | None = N
     if mode not in (ALL, ANY):
         raise ValueError("mode must be 0 (all words) or 1 (any word)")
     known = known_terms(index, text, key_length)
-    found = scored_postings(index, known).groupBy("doc_id").agg(F.sum("score").alias("bm25"), F.count(F.lit(1)).alias("n"))
-    if mode == ALL:
-        found = found.where(F.col("n") == len(known))
-    return found.select("doc_id", "bm25")
+    found = scored_postings(index, known).groupBy("doc_id")
+    if mode == ANY:
+        return found.agg(F.expr("sum(score) AS bm25"))
+    return found.agg(F.expr("sum(score) AS bm25"), F.expr("count(1) AS n")).where(f"n = {len(known)}").select("doc_id", "bm25")
 
 
 def _ranked(df: DataFrame, limit: int) -> DataFrame:
@@ -76,13 +75,12 @@ def _ranked(df: DataFrame, limit: int) -> DataFrame:
         raise ValueError("limit must be 1 or more")
     first = df.orderBy(F.desc("bm25"), "doc_id").limit(limit)
     # a window over the `limit` rows that are left
-    place = F.row_number().over(Window.orderBy(F.desc("bm25"), "doc_id")).cast("int")
-    return first.select(place.alias("rank"), "doc_id", "bm25")
+    return first.selectExpr("CAST(row_number() OVER (ORDER BY bm25 DESC, doc_id) AS INT) AS rank", "doc_id", "bm25")
 
 
 def rank(index: SearchIndex, text: str, mode: int = ALL, limit: int = 10, key_length: int | None = None) -> DataFrame:
     """(rank, doc_id, bm25): the best documents of a query, scores rounded to six digits, ties by doc_id."""
-    return _ranked(matches(index, text, mode, key_length).select("doc_id", F.round("bm25", DIGITS).alias("bm25")), limit)
+    return _ranked(matches(index, text, mode, key_length).selectExpr("doc_id", f"round(bm25, {DIGITS}) AS bm25"), limit)
 
 
 def fetched(ranked: DataFrame) -> tuple[DataFrame, list[int] | None]:
@@ -135,19 +133,17 @@ def search_many(index: SearchIndex, queries: DataFrame, mode: int = ALL, limit:
     """
     if limit < 1 or mode not in (ALL, ANY):
         raise ValueError("limit must be 1 or more and mode 0 or 1")
-    pattern = F.lit("[A-Za-z0-9]+")
-    typed = queries.select("query_id", F.explode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("word"))
-    typed = typed.groupBy("query_id", F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("repeats"))
+    typed = queries.selectExpr("query_id", "explode(regexp_extract_all(text, '[A-Za-z0-9]+', 0)) AS word")
+    typed = typed.groupBy("query_id", F.expr("lower(word) AS term")).agg(F.expr("count(1) AS repeats"))
     known, words = _known_words(index, typed)
     postings = index.postings if words is None else index.postings.where(F.col("term").isin(words))
-    score = bm25(F.col("freq").cast("double"), F.col("df").cast("double"), F.col("doc_size").cast("double"), F.lit(float(index.n_docs)), F.lit(index.avg_doc_size))
+    score = f"repeats * {rarity_sql('df', index.n_docs)} * {saturation_sql('freq', 'doc_size', index.avg_doc_size)}"
     found = postings.join(known, "term").groupBy("query_id", "doc_id")
-    found = found.agg(F.sum(F.col("repeats") * score).alias("bm25"), F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
+    found = found.agg(F.expr(f"round(sum({score}), {DIGITS}) AS bm25"), F.expr("count(1) AS n"), F.expr("max(needed) AS needed"))
     if mode == ALL:
         found = found.where("n = needed")
-    found = found.select("query_id", "doc_id", F.round("bm25", DIGITS).alias("bm25"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "doc_id")).cast("int")
-    return found.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "bm25")
+    place = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS INT) AS rank"
+    return found.selectExpr("query_id", place, "doc_id", "bm25").where(f"rank <= {limit}")
 
 
 def next_documents(index: SearchIndex, terms: list[str], at_least: int) -> DataFrame:
