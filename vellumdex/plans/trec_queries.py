@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vellumdex import cli
 from vellumdex.operators import search, snippets
 from vellumdex.plans.index_queries import BASE, QUERY, URL, _first, _windows, built
 from vellumdex.session import new_path, removed_at_exit
@@ -16,6 +17,7 @@ from vellumdex.sources.corpus import read_trec, write_trec
 from vellumdex.sources.tables import table
 
 _WRITTEN: dict[tuple[str, str], str] = {}
+_SAID: dict[tuple[str, str], tuple[str, list[str]]] = {}
 
 
 def trec_files(spark, sf):
@@ -62,7 +64,21 @@ def trec_snippets(spark, sf):
     return snippets.region_snippets(trec_index(spark, sf), _top(spark, sf), QUERY)
 
 
-QUERIES = {f.__name__: f for f in (trec_documents, trec_or_top10, trec_result_lines, trec_fetch, trec_snippets)}
+def trec_command_line(spark, sf):
+    """What the command line says when it builds an index, once a session, and answers a query with snippets."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SAID:
+        folder, said = new_path(spark, "index-cli"), []
+        cli.main(["build", trec_files(spark, sf), folder], out=said.append)
+        removed_at_exit(spark, folder)
+        _SAID[key] = folder, said
+    folder, said = _SAID[key]
+    answer: list[str] = []
+    cli.main(["query", folder, "--mode", str(search.ANY), "--corpus"], [QUERY, "", "not read"], answer.append)
+    return spark.createDataFrame(list(enumerate([*said, *answer])), "place int, line string")
+
+
+QUERIES = {f.__name__: f for f in (trec_documents, trec_or_top10, trec_result_lines, trec_fetch, trec_snippets, trec_command_line)}
 
 TEXTS = """WITH filed AS (SELECT string_agg('<DOC>\n<DOCNO>D' || doc_id || '</DOCNO>\n<TEXT>\n' || coalesce(url, '') || '\n' || coalesce(text, '') || '\n</TEXT>\n</DOC>\n', ''
     ORDER BY doc_id) AS raw FROM documents),
@@ -75,13 +91,19 @@ TEXTS = """WITH filed AS (SELECT string_agg('<DOC>\n<DOCNO>D' || doc_id || '</DO
 TREC = BASE.replace("WITH texts AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),", TEXTS).replace("strlen(text) AS doc_size", "size AS doc_size")
 TOP = _first(QUERY).replace(BASE, TREC)
 
+BEST = f"""{TOP}, {_windows(QUERY).replace("cut AS", "cut_up AS").replace("FROM cut)", "FROM cut_up)")}, best AS (
+    SELECT doc_id, start, translate(substring(win, 1, 511), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS snippet FROM windows WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) = 1)"""
+LINE = "printf('[%d]%s%s%sBM25: %s%.6f', rank, chr(9), url, chr(10), chr(9), bm25)"
+
 SQL = {
     "trec_documents": f"{TREC} SELECT doc_id, {URL}, size AS doc_size, place FROM texts",
     "trec_or_top10": f"{TOP} SELECT rank, doc_id, {URL}, bm25 FROM ranked JOIN texts USING (doc_id)",
-    "trec_result_lines": f"{TOP} SELECT rank, printf('[%d]%s%s%sBM25: %s%.6f', rank, chr(9), url, chr(10), chr(9), bm25) AS line FROM ranked JOIN texts USING (doc_id)",
+    "trec_result_lines": f"{TOP} SELECT rank, {LINE} AS line FROM ranked JOIN texts USING (doc_id)",
     "trec_fetch": f"{TOP} SELECT rank, doc_id, text AS body FROM ranked JOIN texts USING (doc_id)",
-    "trec_snippets": f"""{TOP}, {_windows(QUERY).replace("cut AS", "cut_up AS").replace("FROM cut)", "FROM cut_up)")}, best AS (SELECT doc_id, start, win FROM windows WHERE score > 0
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) = 1)
-      SELECT rank, doc_id, start, translate(substring(win, 1, 511), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS snippet
-      FROM ranked LEFT JOIN best USING (doc_id)""",
+    "trec_snippets": f"{BEST} SELECT rank, doc_id, start, snippet FROM ranked LEFT JOIN best USING (doc_id)",
+    "trec_command_line": f"""{BEST} SELECT 0 AS place, (SELECT count(*) FROM docs) || ' documents, ' || (SELECT count(*) FROM lex) || ' terms' AS line
+      UNION ALL SELECT 1, 'Showing Top 10'
+      UNION ALL SELECT 1 + rank, {LINE} || chr(10) || '<Snippet>' || chr(10) || coalesce(snippet, '') || chr(10) || '</Snippet>'
+        FROM ranked JOIN texts USING (doc_id) LEFT JOIN best USING (doc_id)""",
 }
